@@ -1,0 +1,5 @@
+"""Reserved for streaming sources.
+
+The engine's data model has no streams, watermarks or stateful operators, so
+this package is intentionally empty.
+"""
