@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandloom.llm.queries import op03, op04, op06, op09
+from strandloom.llm.queries import op01, op03, op04, op06, op09
 
 QUERIES = {
+    "op1_pii": op01.op1_pii,
     "op3_toxicity": op03.op3_toxicity,
     "op4_mixing": op04.op4_mixing,
     "op6_byte_bpe": op06.op6_byte_bpe,
