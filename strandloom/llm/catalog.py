@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm.queries import op01, op03, op04, op06, op09
+from strandloom.llm.queries import op01, op03, op04, op06, op09, op10
 
 QUERIES = {
     "op1_pii": op01.op1_pii,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_mixing": op04.op4_mixing,
     "op6_byte_bpe": op06.op6_byte_bpe,
     "op9_simhash_neardup": op09.op9_simhash_neardup,
+    "op10_language_id": op10.op10_language_id,
+    "language_of_pages": op10.language_of_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
