@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import durable
+
 #: Labelled rows that the lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
 #: Toxic sample texts a term must stand in, and explain newly, at least.
@@ -204,9 +206,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     drawn = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id").select("text", "toxic")
+    # at most SAMPLE_ROWS pairs of integers, so the documents stay where they are
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
     sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    sample = sample.select(F.xxhash64("text").alias("key"), "text", "toxic")
+    sample, _ = durable(sample.select(F.xxhash64("text").alias("key"), "text", "toxic"), "toxic-sample")
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
     if not n_toxic or not n_clean:
