@@ -125,7 +125,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, fp (long) and component_id."""
+    """One row a document: doc_id, fp (long), root (its group's smallest fingerprint), component_id."""
     prints, _ = durable(
         docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "simhash-prints"
     )
@@ -135,5 +135,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+    members = labelled.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(members, "fp").select("doc_id", "fp", "root", "component_id")
