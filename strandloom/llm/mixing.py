@@ -43,8 +43,10 @@ from strandloom.llm.common import durable
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 20
-#: Words a block holds on average.
+#: Words a block holds on average, in a corpus of up to MOST_BLOCKS of them; beyond, blocks grow.
 BLOCK_WORDS = 20_000
+#: The exact draws take fewer than a billion blocks; a mix draws up to three times each.
+MOST_BLOCKS = 100_000_000
 #: Words an output shard holds on average.
 SHARD_WORDS = 1_000_000
 #: Rows a block holds on average at most.
@@ -97,32 +99,17 @@ def _unit(*parts: Column) -> Column:
 
 def _split(node: str, quotas: np.ndarray, left: int, seed: int) -> np.ndarray:
     """Blocks of each source that go left: an exact multivariate-hypergeometric draw."""
-    # The generator takes at most 1e9 items at once, so a draw is made source by source.
     key = np.random.SeedSequence([seed, *node.encode()])
     rng = np.random.Generator(np.random.PCG64(key))
     out = np.zeros_like(quotas)
     rest, want = int(quotas.sum()), left
     for i, q in enumerate(quotas.tolist()):
         rest -= q
-        out[i] = _hypergeometric(rng, q, rest, want)
+        out[i] = rng.hypergeometric(q, rest, want) if want else 0
         want -= int(out[i])
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if good == 0 or draws == 0:
-        return 0
-    if bad == 0:
-        return min(good, draws)
-    if max(good, bad) < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws))
-    half = draws // 2  # two successive draws without replacement are one draw
-    if half == 0:
-        return int(rng.random() * (good + bad) < good)
-    first = _hypergeometric(rng, good, bad, half)
-    return first + _hypergeometric(rng, good - first, bad - (half - first), draws - half)
-
-
 def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """Exact draws of every shard: (shard, start, quotas), arrays in source order.
 
@@ -181,8 +168,11 @@ def plan(docs: DataFrame, doc_id: str, text: str, source: str, weights=WEIGHTS,
     counted = targets(sizes, weights, most).join(
         sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
-    blocks_by_words = F.ceil(F.col("source_size") / BLOCK_WORDS)
-    counted = counted.withColumn("n_blocks", F.greatest(blocks_by_words, F.ceil(F.col("rows") / BLOCK_ROWS), F.lit(1).cast("long")))
+    whole = sizes.agg(F.sum("source_size"), F.sum("rows")).first()
+    block_words = max(BLOCK_WORDS, (whole[0] or 0) // MOST_BLOCKS)
+    block_rows = max(BLOCK_ROWS, (whole[1] or 0) // MOST_BLOCKS)
+    blocks_by_words = F.ceil(F.col("source_size") / block_words)
+    counted = counted.withColumn("n_blocks", F.greatest(blocks_by_words, F.ceil(F.col("rows") / block_rows), F.lit(1).cast("long")))
     some = F.col("source_size") > 0
     counted = counted.withColumn(
         "rounds", F.when(some, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most).cast("long"))).otherwise(0)
