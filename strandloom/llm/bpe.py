@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.common import bounded_batches
+
 #: Texts above this many characters are cut before they are encoded.
 CUT_CHARS = 65_536
 
@@ -73,7 +75,7 @@ def encode(df: DataFrame, text: str, rank_path: str, pattern: str, ids: str = "i
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: encode_text(x, rank_path, pattern))
 
-    return df.withColumn(ids, run(F.col(text).cast("string")))
+    return bounded_batches(df).withColumn(ids, run(F.col(text).cast("string")))
 
 
 def decode(df: DataFrame, ids: str, rank_path: str, pattern: str, decoded: str = "decoded") -> DataFrame:
@@ -83,7 +85,7 @@ def decode(df: DataFrame, ids: str, rank_path: str, pattern: str, decoded: str =
     def run(packed: pd.Series) -> pd.Series:
         return packed.map(lambda x: decode_ids(x or b"", rank_path, pattern))
 
-    return df.withColumn(decoded, run(F.col(ids)))
+    return bounded_batches(df).withColumn(decoded, run(F.col(ids)))
 
 
 def round_trip(rank_path: str, pattern: str, text: Column) -> Column:

@@ -13,6 +13,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that go to a Python worker at once, at most, and their bytes.
+BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """Keep the batches small that Python workers get from this session.
+
+    Texts have no bounded length, so a batch of the default ten thousand takes
+    memory that depends on the data. Settings that are smaller already stay.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import durable
+from strandloom.llm.common import bounded_batches, durable
 
 #: Pages that must match an element, and share of them that must agree, to make it template.
 MIN_PAGES = 5
@@ -364,7 +364,7 @@ def templates(pages: DataFrame, known: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Every row with its main text: (row, text); row is a struct of the caller's columns."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(
+    rows = bounded_batches(pages).select(
         F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"),
         F.when(host != "", host).alias("host"), F.col(page_id).cast("string").alias("page"), F.col(html).cast("string").alias("html"),
     )

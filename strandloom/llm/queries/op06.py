@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.bpe import round_trip
-from strandloom.llm.common import table
+from strandloom.llm.common import bounded_batches, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,7 +18,7 @@ def digests(docs: DataFrame, rank_path: str | None = None, pattern: str | None =
 
         rank_path = rank_path or public_tokenizers.path(RANK_FILE)
         pattern = pattern or public_tokenizers.PATTERN
-    coded = docs.select("doc_id", round_trip(rank_path, pattern, F.col("text")).alias("coded"))
+    coded = bounded_batches(docs).select("doc_id", round_trip(rank_path, pattern, F.col("text")).alias("coded"))
     return coded.select(
         "doc_id",
         (F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import durable
+from strandloom.llm.common import bounded_batches, durable
 from strandloom.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -127,7 +127,7 @@ def near_links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, fp (long), root (its group's smallest fingerprint), component_id."""
     prints, _ = durable(
-        docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "simhash-prints"
+        bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "simhash-prints"
     )
     classes, _ = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     groups = components(near_links(classes.select("fp")), "a", "b")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import durable
+from strandloom.llm.common import bounded_batches, durable
 
 #: Labelled rows that the lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
@@ -207,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS pairs of integers, so the documents stay where they are
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    sample = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
     sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample, _ = durable(sample.select(F.xxhash64("text").alias("key"), "text", "toxic"), "toxic-sample")
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
