@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from strandloom.plans import phasing_queries
+
+QUERIES = {**phasing_queries.QUERIES}
+ORACLE_SQL = {**phasing_queries.ORACLE_SQL}
