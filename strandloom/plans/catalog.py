@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.plans import phasing_queries
+from strandloom.plans import phasing_queries, read_queries
 
-QUERIES = {**phasing_queries.QUERIES}
-ORACLE_SQL = {**phasing_queries.ORACLE_SQL}
+QUERIES = {**phasing_queries.QUERIES, **read_queries.QUERIES}
+ORACLE_SQL = {**phasing_queries.ORACLE_SQL, **read_queries.ORACLE_SQL}
