@@ -232,16 +232,23 @@ def _train(rows: DataFrame) -> dict[str, float]:
     return weights
 
 
+def _bound(columns: dict[str, str], body: str) -> str:
+    """SQL that reads columns as fields of held, so that no lambda's name can hide one."""
+    fields = ", ".join(f"'{k}', {v}" for k, v in columns.items())
+    return f"transform(array(named_struct({fields})), held -> {body})[0]"
+
+
 def accepted(spans: str, model: Model) -> Column:
     """The spans that stay, of a column of candidates, in order."""
     if not model.weights:
         return F.expr(f"filter({spans}, c -> c.base)")
     table = ", ".join(f"'{k}', {v!r}D" for k, v in sorted(model.weights.items()))
     total = f"aggregate({_features('c')}, 0D, (a, f) -> a + coalesce(try_element_at(map({table}), f), 0D))"
-    clear = f"NOT exists({spans}, b -> b.base AND b.s < c.e AND c.s < b.e)"
+    clear = "NOT exists(held.spans, b -> b.base AND b.s < c.e AND c.s < b.e)"
     # broad matches of a base kind that fail its check are candidates, never results
     weak = f"c.k >= {len(BASE)}"
-    return F.expr(f"filter({spans}, c -> c.base OR ({weak} AND {clear} AND {total} >= {_logit(ACCEPT)!r}D))")
+    kept = f"filter(held.spans, c -> c.base OR ({weak} AND {clear} AND {total} >= {_logit(ACCEPT)!r}D))"
+    return F.expr(_bound({"spans": spans}, kept))
 
 
 def listed(spans: str) -> Column:
@@ -251,8 +258,8 @@ def listed(spans: str) -> Column:
 
 def redacted(text: str, spans: str) -> Column:
     """The text with each accepted span replaced by its kind in brackets."""
-    t = f"coalesce(cast({text} as string), '')"
-    step = f"""CASE WHEN c.e <= acc.p THEN acc ELSE named_struct('p', c.e, 'out', concat(acc.out,
-        CASE WHEN c.s < acc.p THEN '' ELSE concat(substring({t}, acc.p + 1, c.s - acc.p), '[', upper(c.kind), ']') END)) END"""
-    fold = f"aggregate({spans}, named_struct('p', 0, 'out', ''), (acc, c) -> {step}, acc -> concat(acc.out, substring({t}, acc.p + 1)))"
-    return F.expr(f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {fold} END")
+    step = """CASE WHEN c.e <= acc.p THEN acc ELSE named_struct('p', c.e, 'out', concat(acc.out,
+        CASE WHEN c.s < acc.p THEN '' ELSE concat(substring(held.t, acc.p + 1, c.s - acc.p), '[', upper(c.kind), ']') END)) END"""
+    fold = f"aggregate(held.spans, named_struct('p', 0, 'out', ''), (acc, c) -> {step}, acc -> concat(acc.out, substring(held.t, acc.p + 1)))"
+    bound = _bound({"t": f"cast({text} as string)", "spans": spans}, f"CASE WHEN size(held.spans) = 0 THEN held.t ELSE {fold} END")
+    return F.expr(bound)
