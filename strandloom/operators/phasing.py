@@ -17,12 +17,14 @@ VOTE_MARGIN = 0
 
 
 def cells(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row for each key, flanking offset and character, with the reads summed first.
+    """One row for each key, flanking offset and character; the separator makes no cell.
 
     Rows that differ in what is not asked for are added up before the strings
-    are exploded; the separator makes no cell.
+    are exploded. By molecule they hardly repeat, and are exploded as they are.
     """
-    summed = rows.groupBy("locus_id", *keys, "flanking_seq").agg(F.sum("cnt").alias("cnt"))
+    summed = rows
+    if "mi" not in keys:
+        summed = rows.groupBy("locus_id", *keys, "flanking_seq").agg(F.sum("cnt").alias("cnt"))
     out = summed.select("locus_id", *keys, "cnt", F.posexplode(F.split("flanking_seq", "")).alias("offset", "base"))
     return out.where("base <> '|'")
 

@@ -88,19 +88,22 @@ def place(reads: DataFrame) -> DataFrame:
     Equal reads are placed once and joined back. Of equal values the largest
     upstream end wins, then the smallest downstream start.
     """
-    keys = ["up_flank", "dn_flank", "seq", "marks"]
-    distinct = reads.select(*keys).distinct().withColumn("read", F.sha2(F.to_json(F.struct(*keys)), 256))
-    ups = side_matches(distinct, False).select("read", F.col("pos").alias("a"), F.col("cost").alias("up_cost"), F.col("size").alias("up_size"))
-    dns = side_matches(distinct, True).select("read", F.col("pos").alias("b"), F.col("cost").alias("dn_cost"), F.col("size").alias("dn_size"))
-    pairs = ups.join(dns, "read").where("a < b").join(distinct.select("read", "seq", "marks"), "read")
+    strings = ["up_flank", "dn_flank", "seq"]
+    keys = [*strings, "marks"]
+    # matches and values depend on the strings alone; marks only choose among them
+    texts = reads.select(*strings).distinct().withColumn("read", F.sha2(F.to_json(F.struct(*strings)), 256))
+    ups = side_matches(texts, False).select("read", F.col("pos").alias("a"), F.col("cost").alias("up_cost"), F.col("size").alias("up_size"))
+    dns = side_matches(texts, True).select("read", F.col("pos").alias("b"), F.col("cost").alias("dn_cost"), F.col("size").alias("dn_size"))
     a, b = F.col("a"), F.col("b")
-    marked = F.exists("marks", lambda m: F.greatest(m["lo"], a + 1) < F.least(m["hi"], b))
     value = tract_score(F.col("seq"), a, b) - F.col("up_cost") - F.col("dn_cost")
-    best = F.max(F.when(marked, F.struct(value.alias("value"), a.alias("a"), (-b).alias("minus_b"), "up_size", "dn_size"))).alias("best")
-    found = pairs.groupBy("read").agg(best)
-    matched = distinct.join(ups.select("read").distinct().withColumn("upstream_matched", F.lit(True)), "read", "left")
-    matched = matched.join(dns.select("read").distinct().withColumn("downstream_matched", F.lit(True)), "read", "left")
-    joined = matched.fillna(False).join(found.withColumn("ordered", F.lit(True)), "read", "left").fillna(False, ["ordered"])
+    placements = ups.join(dns, "read").where("a < b").join(texts.select("read", "seq"), "read")
+    placements = placements.select("read", F.struct(value.alias("value"), a.alias("a"), (-b).alias("minus_b"), "up_size", "dn_size").alias("p"))
+    ends = ups.groupBy("read").agg(F.lit(True).alias("upstream_matched")).join(dns.groupBy("read").agg(F.lit(True).alias("downstream_matched")), "read", "full")
+    found = placements.groupBy("read").agg(F.collect_list("p").alias("all"))  # a read has a few
+    matched = texts.join(ends, "read", "left").fillna(False).join(found, "read", "left")
+    distinct = reads.select(*keys).distinct().join(matched, strings)
+    marked = F.filter("all", lambda p: F.exists("marks", lambda m: F.greatest(m["lo"], p["a"] + 1) < F.least(m["hi"], -p["minus_b"])))
+    joined = distinct.withColumn("ordered", F.col("all").isNotNull()).withColumn("best", F.array_max(marked))
     both = F.col("upstream_matched") & F.col("downstream_matched")
     placed = F.col("best").isNotNull()
     kept = placed & F.coalesce(F.col("best.value") >= 0, F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.tract import format_pattern, offset_at_ref_pos
 from strandloom.operators import patterns, phasing
 from strandloom.sources.panel import Panel
+from strandloom.sources.shared import settled
 
 SNV_COLUMNS = [
     "locus_id", "ref_pos", "segment", "string_index", "allele_major", "allele_minor", "vaf_minor", "coverage", "status",
@@ -27,14 +28,15 @@ class Phased:
 
 def phase(panel: Panel, min_coverage=phasing.MIN_COVERAGE, vaf_min=phasing.VAF_MIN, min_linkage_families=phasing.MIN_LINKAGE_FAMILIES,
           min_informative_positions=phasing.MIN_INFORMATIVE, vote_margin=phasing.VOTE_MARGIN) -> Phased:
-    found = phasing.informative_snvs(panel, min_coverage, vaf_min)
-    snvs = phasing.haplotypes(panel, found, min_linkage_families)
+    # a few rows a locus; both are referred to by everything that follows
+    found = settled(phasing.informative_snvs(panel, min_coverage, vaf_min))
+    snvs = settled(phasing.haplotypes(panel, found, min_linkage_families))
     return Phased(snvs, phasing.assign(panel, snvs, min_informative_positions, vote_margin))
 
 
-def haplotype_calls(phased: Phased) -> DataFrame:
+def haplotype_calls(phased: Phased, majority: DataFrame | None = None) -> DataFrame:
     """One row for each panel row: its molecule's pattern, its label and votes."""
-    pattern = patterns.majority_patterns(phased.rows).withColumn("interrupter_pattern", format_pattern(F.col("pattern"))).drop("pattern")
+    pattern = (majority or patterns.majority_patterns(phased.rows)).withColumn("interrupter_pattern", format_pattern(F.col("pattern"))).drop("pattern")
     return phased.rows.join(pattern, ["locus_id", "mi"]).select(
         "locus_id", "mi", "strand", F.col("cnt").alias("count"), "interrupter_pattern", "phase_label", "n_major", "n_minor", "n_other"
     )
@@ -52,7 +54,7 @@ def _reads_by_label(rows: DataFrame) -> list:
 def locus_summary(panel: Panel, phased: Phased, min_pattern_freq: float = patterns.MIN_PATTERN_FREQ) -> DataFrame:
     rows = phased.rows
     totals = rows.groupBy("locus_id").agg(F.count("*").alias("n_rows"), *_reads_by_label(rows))
-    majority = patterns.majority_patterns(rows)
+    majority = patterns.majority_patterns(panel.rows)
     families = majority.groupBy("locus_id").agg(F.count("*").alias("n_rfs"))
     snvs = phased.snvs
     is_phased = F.col("status") == "phased"
@@ -64,7 +66,7 @@ def locus_summary(panel: Panel, phased: Phased, min_pattern_freq: float = patter
         F.coalesce(F.max(F.when(is_phased & ~F.col("is_anchor"), F.col("pair_discordance"))), F.lit(0.0)).alias("max_discordance"),
         F.max(F.when(F.col("is_anchor"), F.col("coverage"))).alias("n_anchor_families"),
     )
-    calls = haplotype_calls(phased)
+    calls = haplotype_calls(phased, majority)
     out = (
         panel.loci.select("locus_id").join(totals, "locus_id", "left").join(families, "locus_id", "left")
         .join(patterns.admitted(patterns.pattern_shares(majority), min_pattern_freq), "locus_id", "left")
