@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where they share its path, whatever folder the driver runs in."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any store works."""
+    _importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,6 +31,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     Texts have no bounded length, so a batch of the default ten thousand takes
     memory that depends on the data. Settings that are smaller already stay.
     """
+    _importable(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -50,6 +58,7 @@ def durable(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     another outcome of it when an executor is lost.
     """
     spark = df.sparkSession
+    _importable(spark)
     path = f"{_shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
