@@ -69,4 +69,5 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, sl
     found = df.withColumn(slot_column, slot(F.col(key), size))
     entry = F.substring(F.lit(bytearray(packed)), (F.col(slot_column) * SLOT_BYTES + 1).cast("int"), F.lit(SLOT_BYTES))
     names = F.array(*map(F.lit, shards))
-    return found.withColumn(shard_column, F.element_at(names, F.conv(F.hex(entry), 16, 10).cast("int") + 1))
+    owner = F.element_at(names, F.conv(F.hex(entry), 16, 10).cast("int") + 1)
+    return found.withColumn(shard_column, F.when(F.col(slot_column).isNotNull(), owner))
