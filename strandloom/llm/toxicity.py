@@ -8,9 +8,12 @@ not count. The score is a logistic function of the hits' weight and the text's
 length, whose exponent of length is fitted with it.
 
 The lexicon, the phrases and the three coefficients are learned from labelled
-rows, at most SAMPLE_ROWS of them, drawn by the hash of their id. Terms enter
-the lexicon one by one, each for the toxic texts that no earlier term explains,
-so that words which only come along in copies of a toxic text stay out.
+rows, at most SAMPLE_ROWS of them, drawn by the hash of their id. A term counts by
+how often it stands in a text: it qualifies if chance can't explain its hits in
+toxic texts, and its weight is the lower bound of the log-odds of its hits among
+the words, so that words which clean texts hold now and then can enter as well.
+Terms enter the lexicon one by one, each for the toxic texts that no earlier term
+explains, so that words which only come along in copies of a toxic text stay out.
 
 Defined results
     null or empty text   no hits: the score of a text without hits and words
@@ -40,8 +43,6 @@ from strandloom.llm.common import bounded_batches, durable
 SAMPLE_ROWS = 20_000
 #: Toxic sample texts a term must stand in, and explain newly, at least.
 MIN_SUPPORT = 4
-#: Share of a term's sample texts that must be toxic.
-MIN_PRECISION = 0.8
 MAX_TERMS = 2_000
 STEM_LENGTHS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -75,16 +76,23 @@ def fold(text: str | None) -> str:
     return _SYMBOL.sub(lambda m: "".join(SYMBOLS[c] for c in m[0]), folded)
 
 
-def terms(folded: str) -> set[str]:
-    """A text's candidate terms: '=word' for words, '^stem' for word beginnings."""
-    words = set(_WORD.findall(folded))
-    out = {"=" + w for w in words if len(w) > 2}
+def term_hits(folded: str) -> Counter[str]:
+    """How often a text has each term: '=word' for words, '^stem' for word beginnings, '' for any word."""
+    words = Counter(_WORD.findall(folded))
+    out = Counter({"=" + w: k for w, k in words.items() if len(w) > 2})
     for n in STEM_LENGTHS:
-        out.update("^" + w[:n] for w in words if len(w) > n)
-        out.update("^" + w for w in words if len(w) == n)
+        for w, k in words.items():
+            if len(w) >= n:
+                out["^" + w[:n]] += k
+    out[""] = words.total()
     return out
 
 
+def terms(folded: str) -> set[str]:
+    """A text's candidate terms."""
+    return set(term_hits(folded)) - {""}
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -163,45 +171,66 @@ def _context(folded: str, start: int, end: int) -> list[str]:
 
 
 def _fit(rows: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
-    """Ridge logistic regression by Newton steps; rows: hit and length features."""
-    x = np.column_stack([np.ones(len(rows)), rows[:, 0], np.where(rows[:, 0] > 0, rows[:, 1], 0.0)])
-    beta, ridge = np.zeros(3), np.diag([1e-3, 0.05, 0.05])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    """Ridge logistic regression by Newton steps; rows: hit and length features.
+
+    Length may only lower a score: where it would raise it, the rest is fitted without it.
+    """
+    full = np.column_stack([np.ones(len(rows)), rows[:, 0], np.where(rows[:, 0] > 0, rows[:, 1], 0.0)])
+    for columns in (3, 2):
+        x, ridge = full[:, :columns], np.diag([1e-3, 0.05, 0.05][:columns])
+        beta = np.zeros(columns)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ beta)
+            beta += np.clip(step, -5, 5)
+            if np.abs(step).max() < 1e-8:
+                break
+        if beta[-1] <= 0:
             break
-    return float(beta[0]), float(beta[1]), float(min(beta[2], 0.0))
+    return float(beta[0]), float(beta[1]), float(beta[2]) if len(beta) == 3 else 0.0
+
 
+def _weight(toxic: float, clean: float, clump: float, words: tuple[float, float], least: float) -> float:
+    """Lower bound of the log-odds of a term's hits among the words; 0 if chance may explain them.
 
-def _cover(stats: dict[str, tuple[int, int]], texts: dict[str, set[int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Greedy choice of terms by the toxic texts they newly explain."""
+    Hits of one text depend on each other. clump is the number of hits in the text
+    of a hit, on average, so that hits / clump count as independent. least is the
+    log-likelihood ratio that chance reaches among as many terms as were tested.
+    """
+    a, b = toxic / clump, clean / clump
+    expected = (a + b) * words[0] / sum(words)
+    if a <= expected:
+        return 0.0
+    if 2 * (a * math.log(a / expected) + (b * math.log(b / (a + b - expected)) if b else 0.0)) < least:
+        return 0.0
+    odds = math.log((a + 0.5) / words[0]) - math.log((b + 0.5) / words[1])
+    return max(0.0, odds - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
+
+def _cover(weights: dict[str, float], texts: dict[str, set[int]]) -> dict[str, float]:
+    """Greedy choice of terms by the weight of the toxic texts they newly explain."""
     uncovered: set[int] = set().union(*texts.values()) if texts else set()
     chosen: dict[str, float] = {}
     gains = {t: len(own) for t, own in texts.items()}
     while gains and len(chosen) < MAX_TERMS:
-        term = max(gains, key=lambda t: (gains[t] - 10 * stats[t][1], len(t), t))
+        term = max(gains, key=lambda t: (gains[t] * weights[t], len(t), t))
         fresh = texts[term] & uncovered
-        if gains[term] != len(fresh):
+        if len(fresh) < MIN_SUPPORT:
+            del gains[term]
+        elif gains[term] != len(fresh):
             gains[term] = len(fresh)
-            if len(fresh) < MIN_SUPPORT:
-                del gains[term]
-            continue
-        del gains[term]
-        toxic, clean = stats[term]
-        if len(fresh) - 10 * clean < MIN_SUPPORT:
-            continue
-        chosen[term] = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
-        uncovered -= texts[term]
+        else:
+            del gains[term]
+            chosen[term] = weights[term]
+            uncovered -= texts[term]
     return chosen
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, toxic) covers.
 
-    What reaches the driver is bounded by the sample: statistics of terms that
-    pass the support and precision bounds, and the sample texts they stand in.
+    What reaches the driver is bounded by the sample: weights of terms that chance
+    can't explain, and the sample texts they stand in.
     """
     drawn = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -211,24 +240,40 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample, _ = durable(sample.select(F.xxhash64("text").alias("key"), "text", "toxic"), "toxic-sample")
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
-    if not n_toxic or not n_clean:
+    if not counts.get(1) or not counts.get(0):
         return Lexicon()
 
     def count(batches):
-        toxic, clean = Counter(), Counter()
+        hits, texts, squares = (Counter(), Counter()), Counter(), Counter()
         for batch in batches:
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
-                (toxic if label else clean).update(terms(fold(text)))
-        yield pd.DataFrame([(t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys()], columns=["term", "toxic", "clean"])
+                for t, n in term_hits(fold(text)).items():
+                    hits[label][t] += n
+                    texts[t] += label
+                    squares[t] += n * n
+        rows = [(t, hits[1][t], hits[0][t], texts[t], squares[t]) for t in squares]
+        yield pd.DataFrame(rows, columns=["term", "toxic", "clean", "texts", "squares"])
+
+    shape = "term string, toxic long, clean long, texts long, squares long"
+    totals = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(count, shape).groupBy("term")
+    totals = totals.agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "texts", "squares")])
+    totals, _ = durable(totals.where((F.col("texts") >= MIN_SUPPORT) | (F.col("term") == "")), "toxic-terms")
+    everything = totals.where("term = ''").first()
+    words = (max(1, everything["toxic"]), max(1, everything["clean"]))
+    least = 2 * math.log(max(2, totals.count()))
+
+    def judge(batches):
+        for batch in batches:
+            weight = [
+                _weight(a, b, q / (a + b), words, least)
+                for a, b, q in zip(batch["toxic"], batch["clean"], batch["squares"], strict=True)
+            ]
+            batch = batch[["term"]].assign(weight=weight)
+            yield batch[batch["weight"] > 0]
 
-    totals = (
-        sample.select("text", "toxic").mapInPandas(count, "term string, toxic long, clean long")
-        .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    )
-    precise = F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))
-    stats = {r["term"]: (r["toxic"], r["clean"]) for r in totals.where(precise & (F.col("toxic") >= MIN_SUPPORT)).collect()}
-    wanted = frozenset(stats)
+    judged = totals.where("term <> ''").mapInPandas(judge, "term string, weight double")
+    weights = {r["term"]: r["weight"] for r in judged.collect()}
+    wanted = frozenset(weights)
 
     def where(batches):
         for batch in batches:
@@ -238,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     texts: dict[str, set[int]] = {}
     for row in sample.where("toxic = 1").select("key", "text").mapInPandas(where, "key long, term string").toLocalIterator():
         texts.setdefault(row["term"], set()).add(row["key"])
-    lexicon = Lexicon(weights=_cover(stats, texts, n_toxic, n_clean))
+    lexicon = Lexicon(weights=_cover(weights, texts))
 
     def phrases(batches):
         matcher = Matcher(lexicon)

@@ -47,6 +47,33 @@ def test_held_out_rows(spark):
     assert got.where(F.col("predicted") != (F.col("score") >= 0.3).cast("int")).count() == 0
 
 
+def test_stems_that_clean_texts_hold_too_are_learned(spark):
+    ends = ("kat", "lum", "por", "ves", "dij", "mag")
+    rows = []
+    for i in range(900):
+        words = [f"w{(i * 7 + k * k) % 331}" for k in range(60)]
+        if i % 9 == 0:  # toxic: the stem twice or more, with changing ends
+            words += ["grolb" + ends[(i // 9 + k) % 6] for k in range(2 + i % 2)]
+        elif i % 6 == 1:  # more clean texts than toxic ones hold it, once
+            words += ["grolb" + ends[i % 5]]
+        rows.append((i, " ".join(words), int(i % 9 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = Matcher(learn(df.select("doc_id", "text"), df.where("doc_id < 600").select("doc_id", "toxic")))
+    found = [(m.score(text) >= 0.3, toxic) for _, text, toxic in rows[600:]]
+    assert sum(hit for hit, toxic in found if toxic) >= 30
+    assert sum(hit for hit, toxic in found if not toxic) <= 13
+
+
+def test_held_out_recall_of_each_language(spark):
+    got = op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    langs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang")
+    rows = got.join(labels, "doc_id").join(langs, "doc_id").groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()
+    shares = {(r["lang"], r["toxic"]): r["share"] for r in rows}
+    assert set(shares) == {(x, t) for x in ("en", "de", "fr", "es") for t in (0, 1)}
+    assert all(share >= 0.85 if toxic else share <= 0.03 for (_, toxic), share in shares.items()), shares
+
+
 def test_nasty_and_empty(spark, nasty, no_docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon = learn(nasty, labels)
