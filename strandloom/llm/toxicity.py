@@ -12,13 +12,14 @@ rows, at most SAMPLE_ROWS of them, drawn by the hash of their id. A term counts
 how often it stands in a text: it qualifies if chance can't explain its hits in
 toxic texts, and its weight is the lower bound of the log-odds of its hits among
 the words, so that words which clean texts hold now and then can enter as well.
-Terms enter the lexicon one by one, each for the toxic texts that no earlier term
-explains, so that words which only come along in copies of a toxic text stay out.
+Near copies among the sample share the weight of one text, so that words which
+only come along in copies of a toxic text stay out. A word beginning enters for
+the hits that no longer chosen term has.
 
 Defined results
     null or empty text   no hits: the score of a text without hits and words
     very long text       scanned whole; its length lowers the weight of a hit
-    ties                 among equal terms the longer, then the smaller one enters
+    ties                 among equal terms the longer one enters, a beginning before the word
     repeated rows        scored alike; equal training texts count once
     no labels            empty lexicon, every score is 0
     empty table          empty result
@@ -34,6 +35,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,11 @@ from strandloom.llm.common import bounded_batches, durable
 
 #: Labelled rows that the lexicon is learned from, at most.
 SAMPLE_ROWS = 20_000
-#: Toxic sample texts a term must stand in, and explain newly, at least.
+#: Toxic sample texts a term must stand in at least; near copies are one.
 MIN_SUPPORT = 4
+#: Share of equal minima of the three-word shingles that makes texts near copies.
+COPY_SHARE = 0.75
+_MINIMA, _BAND = 64, 4
 MAX_TERMS = 2_000
 STEM_LENGTHS = (4, 5, 6)
 THRESHOLD = 0.3
@@ -207,30 +212,67 @@ def _weight(toxic: float, clean: float, clump: float, words: tuple[float, float]
     return max(0.0, odds - 2 * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
 
 
-def _cover(weights: dict[str, float], texts: dict[str, set[int]]) -> dict[str, float]:
-    """Greedy choice of terms by the weight of the toxic texts they newly explain."""
-    uncovered: set[int] = set().union(*texts.values()) if texts else set()
+def _minima(folded: str) -> np.ndarray:
+    """Smallest values of the text's shingles under _MINIMA hash functions."""
+    words = _WORD.findall(folded)
+    shingles = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in shingles], dtype=np.uint64)
+    factors, shifts = np.random.default_rng(42).integers(1, 1 << 63, (2, _MINIMA, 1), dtype=np.uint64)
+    out = np.full(_MINIMA, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(hashes), 4096):
+        mixed = (hashes[i : i + 4096] * (factors * np.uint64(2) + np.uint64(1)) + shifts) >> np.uint64(32)
+        out = np.minimum(out, mixed.min(axis=1).astype(np.uint32))
+    return out
+
+
+def _copy_shares(minima: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """1 / the number of near copies with the text's label, itself included."""
+    root = np.arange(len(minima))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for band in range(0, _MINIMA, _BAND):
+        _, first, bucket = np.unique(minima[:, band : band + _BAND], axis=0, return_index=True, return_inverse=True)
+        other = first[bucket.ravel()]
+        alike = (minima == minima[other]).mean(axis=1) >= COPY_SHARE
+        for i in np.flatnonzero(alike & (other != np.arange(len(minima)))):
+            a, b = top(i), top(other[i])
+            root[max(a, b)] = min(a, b)
+    groups = np.array([top(i) for i in range(len(minima))], dtype=np.int64) * 2 + toxic
+    _, inverse, sizes = np.unique(groups, return_inverse=True, return_counts=True)
+    return 1 / sizes[inverse.ravel()]
+
+
+def _choose(stats: dict[str, tuple[float, float, float]], words: tuple[float, float], least: float) -> dict[str, float]:
+    """Weights of the reliable terms, from (toxic, clean, clump); each hit counts for the longest one."""
     chosen: dict[str, float] = {}
-    gains = {t: len(own) for t, own in texts.items()}
-    while gains and len(chosen) < MAX_TERMS:
-        term = max(gains, key=lambda t: (gains[t] * weights[t], len(t), t))
-        fresh = texts[term] & uncovered
-        if len(fresh) < MIN_SUPPORT:
-            del gains[term]
-        elif gains[term] != len(fresh):
-            gains[term] = len(fresh)
-        else:
-            del gains[term]
-            chosen[term] = weights[term]
-            uncovered -= texts[term]
-    return chosen
+    taken: dict[str, np.ndarray] = {}
+    for term in sorted(stats, key=lambda t: (-len(t), t[0] == "^", t)):
+        own, clump = np.array(stats[term][:2]), stats[term][2]
+        stem = term[1:]
+        if term[0] == "=" and stats.get("^" + stem) == stats[term]:
+            continue
+        if term[0] == "^" and stem in taken:
+            own = np.maximum(own - taken[stem], 0.0)
+            if own[0] < MIN_SUPPORT * clump:
+                continue
+        weight = _weight(own[0], own[1], clump, words, least)
+        if weight > 0:
+            chosen[term] = weight
+            for n in STEM_LENGTHS:
+                if len(stem) >= n:
+                    taken[stem[:n]] = taken.get(stem[:n], 0.0) + own
+    return dict(sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """Learn from rows of docs (doc_id, text) that labels (doc_id, toxic) covers.
 
-    What reaches the driver is bounded by the sample: weights of terms that chance
-    can't explain, and the sample texts they stand in.
+    What reaches the driver is bounded by the sample: minima of its texts, and
+    counts of terms that chance can't explain.
     """
     drawn = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     drawn = drawn.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -243,20 +285,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not counts.get(1) or not counts.get(0):
         return Lexicon()
 
+    def sign(batches):
+        for batch in batches:
+            minima = [_minima(fold(text)).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"key": batch["key"], "toxic": batch["toxic"], "minima": minima})
+
+    # at most SAMPLE_ROWS rows of four bytes for each hash function
+    signed = sample.select("key", "text", "toxic").mapInPandas(sign, "key long, toxic int, minima binary").toPandas().sort_values("key")
+    shares = _copy_shares(np.frombuffer(b"".join(signed["minima"]), dtype=np.uint32).reshape(-1, _MINIMA), signed["toxic"].to_numpy())
+    copies = {k: float(x) for k, x in zip(signed["key"], shares, strict=True) if x < 1}
+
     def count(batches):
         hits, texts, squares = (Counter(), Counter()), Counter(), Counter()
         for batch in batches:
-            for text, label in zip(batch["text"], batch["toxic"], strict=True):
+            for key, text, label in zip(batch["key"], batch["text"], batch["toxic"], strict=True):
+                share = copies.get(key, 1.0)
                 for t, n in term_hits(fold(text)).items():
-                    hits[label][t] += n
-                    texts[t] += label
-                    squares[t] += n * n
+                    hits[label][t] += n * share
+                    texts[t] += label * share
+                    squares[t] += n * n * share
         rows = [(t, hits[1][t], hits[0][t], texts[t], squares[t]) for t in squares]
         yield pd.DataFrame(rows, columns=["term", "toxic", "clean", "texts", "squares"])
 
-    shape = "term string, toxic long, clean long, texts long, squares long"
-    totals = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(count, shape).groupBy("term")
-    totals = totals.agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "texts", "squares")])
+    shape = "term string, toxic double, clean double, texts double, squares double"
+    totals = sample.select("key", "text", "toxic").mapInPandas(count, shape).groupBy("term")
+    totals = totals.agg(*[F.round(F.sum(c), 6).alias(c) for c in ("toxic", "clean", "texts", "squares")])
     totals, _ = durable(totals.where((F.col("texts") >= MIN_SUPPORT) | (F.col("term") == "")), "toxic-terms")
     everything = totals.where("term = ''").first()
     words = (max(1, everything["toxic"]), max(1, everything["clean"]))
@@ -264,26 +317,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     def judge(batches):
         for batch in batches:
-            weight = [
-                _weight(a, b, q / (a + b), words, least)
-                for a, b, q in zip(batch["toxic"], batch["clean"], batch["squares"], strict=True)
-            ]
-            batch = batch[["term"]].assign(weight=weight)
-            yield batch[batch["weight"] > 0]
-
-    judged = totals.where("term <> ''").mapInPandas(judge, "term string, weight double")
-    weights = {r["term"]: r["weight"] for r in judged.collect()}
-    wanted = frozenset(weights)
-
-    def where(batches):
-        for batch in batches:
-            rows = [(key, t) for key, text in zip(batch["key"], batch["text"], strict=True) for t in terms(fold(text)) & wanted]
-            yield pd.DataFrame(rows, columns=["key", "term"])
+            batch = batch.assign(clump=batch["squares"] / (batch["toxic"] + batch["clean"]))
+            found = [_weight(a, b, k, words, least) > 0 for a, b, k in zip(batch["toxic"], batch["clean"], batch["clump"], strict=True)]
+            yield batch.loc[found, ["term", "toxic", "clean", "clump"]]
 
-    texts: dict[str, set[int]] = {}
-    for row in sample.where("toxic = 1").select("key", "text").mapInPandas(where, "key long, term string").toLocalIterator():
-        texts.setdefault(row["term"], set()).add(row["key"])
-    lexicon = Lexicon(weights=_cover(weights, texts))
+    judged = totals.where("term <> ''").mapInPandas(judge, "term string, toxic double, clean double, clump double")
+    lexicon = Lexicon(weights=_choose({t: (a, b, k) for t, a, b, k in judged.collect()}, words, least))
 
     def phrases(batches):
         matcher = Matcher(lexicon)

@@ -64,6 +64,18 @@ def test_stems_that_clean_texts_hold_too_are_learned(spark):
     assert sum(hit for hit, toxic in found if not toxic) <= 13
 
 
+def test_words_count_on_their_own_and_copies_once(spark):
+    filler = lambda i, n: [f"w{(i * 7 + k * k) % 331}" for k in range(n)]
+    rows = [(i, " ".join([*filler(i, 30), "grolb", *(["snarv"] if i % 2 else [])]), 1) for i in range(60)]
+    rows += [(100 + i, " ".join([*filler(5_000, 80), "flimpo", "grolb", f"x{i}"]), 1) for i in range(12)]
+    rows += [(200 + i, " ".join(filler(97 + i, 30)), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = Matcher(learn(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    # every snarv comes with a grolb, but says as much alone; flimpo stands in copies of one text only
+    assert m.score("w1 w2 snarv") >= 0.3 and m.score("w1 w2 grolb") >= 0.3
+    assert not m.hits("flimpo") and m.score("w1 w2 flimpo") < 0.3
+
+
 def test_held_out_recall_of_each_language(spark):
     got = op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
