@@ -48,8 +48,8 @@ WEAK = {
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr)\.\x20[A-Z][a-z]{1,30}\x20[A-Z][a-z]{1,30}(?![A-Za-z])",
 }
 KINDS = [*BASE, *WEAK]
-#: A text without it has no match of the kind.
-_NEEDS = {"email": "@", "phone": "+", "written_email": "dot", "local_phone": "(", "tax_id": "-", "name": "."}
+#: A text without any of these has no match of the kind.
+_NEEDS = {"email": ["@"], "phone": ["+"], "written_email": ["dot", "DOT"], "local_phone": ["("], "tax_id": ["-"], "name": ["."]}
 # Gazetteers and cue words.
 TLDS = "com org net edu gov mil int info biz io co us uk de fr es it nl eu ch at be pl se no fi dk pt ie ca au nz jp cn in br mx ru".split()
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 351 352 353 354 356 357 358 359 370 371 372 380 381 385 386 420 421 852 886 961 962 963 964 965 966 971 972 974".split()
@@ -74,7 +74,7 @@ def _matches(text: str, kind: str, pattern: str) -> str:
     transform binds matches and pieces once for the fold over them.
     """
     found = f"regexp_extract_all({text}, {_quoted(pattern)}, 0)"
-    need = f"contains({text}, '{_NEEDS[kind]}')" if kind in _NEEDS else "true"
+    need = "(" + " OR ".join(f"contains({text}, '{x}')" for x in _NEEDS[kind]) + ")" if kind in _NEEDS else "true"
     step = """named_struct(
         'p', acc.p + length(x.g[i]) + length(x.m[i]),
         'out', concat(acc.out, array(named_struct(

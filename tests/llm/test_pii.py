@@ -92,3 +92,10 @@ def test_redaction(spark):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "x@y.zz", "z")], "doc_id long, text string, spans string")
     assert docs.select(F.size(pii.candidates("text"))).first()[0] == 1
+
+
+def test_written_addresses_in_both_spellings(spark):
+    texts = ["john [at] acme [dot] com", "JOHN [AT] ACME [DOT] COM", "JOHN (AT) ACME (dot) COM", "JOHN [AT] ACME", "DOT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][c["s"] : c["e"]] for c in r["c"] if c["kind"] == "written_email"] for r in df.select("doc_id", pii.candidates("text").alias("c")).collect()}
+    assert got == {0: [texts[0]], 1: [texts[1]], 2: [texts[2]], 3: [], 4: []}
