@@ -4,6 +4,7 @@ Defined results
     null text           encodes as the empty text: no ids, no bytes
     empty text          no ids, no bytes
     very long text      cut at safe boundaries, encoded piece by piece, ids joined
+    long white space    a run is encoded as the one match it is, whatever its length
     ties, repeated rows every row is encoded on its own
     empty table         empty result
     clashing columns    the operator's own output column replaces one of its name
@@ -32,6 +33,13 @@ CUT_CHARS = 65_536
 #: ASCII: there every regex engine agrees on what white space is.
 _SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
 
+#: The library's regex goes back over white space on its stack, which a run of a
+#: million characters exhausts; runs from this length on are matched here.
+RUN_CHARS = 4_096
+# The characters with Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{WHITE_SPACE}]{{{RUN_CHARS},}}")
+
 
 def safe_pieces(text: str, size: int = CUT_CHARS) -> Iterator[str]:
     """Cut a long text so that the pieces' matches are the text's matches."""
@@ -45,6 +53,22 @@ def safe_pieces(text: str, size: int = CUT_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def pieces(text: str, size: int = CUT_CHARS, runs: re.Pattern = _RUN) -> Iterator[tuple[str, bool]]:
+    """Cut a text into (piece, whether the piece is one match of the pattern).
+
+    Nothing before a run of white space matches into it. At the end of the text
+    the run is one match; elsewhere all but its last character are, as that one
+    may open the next word's match.
+    """
+    start = 0
+    for run in runs.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        yield from ((p, False) for p in safe_pieces(text[start : run.start()], size))
+        yield text[run.start() : end], True
+        start = end
+    yield from ((p, False) for p in safe_pieces(text[start:], size))
+
+
 @functools.cache
 def _encoding(rank_path: str, pattern: str):
     import tiktoken
@@ -58,8 +82,8 @@ def encode_text(text: str | None, rank_path: str, pattern: str) -> bytes:
     """Ids of one text as little-endian unsigned 32-bit integers."""
     coder = _encoding(rank_path, pattern)
     ids: list[int] = []
-    for piece in safe_pieces(text or ""):
-        ids += coder.encode_ordinary(piece)
+    for piece, whole in pieces(text or ""):
+        ids += coder._encode_single_piece(piece) if whole else coder.encode_ordinary(piece)
     return np.asarray(ids, dtype="<u4").tobytes()
 
 

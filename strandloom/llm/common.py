@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,24 +45,33 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 
-    A folder of our own is set only where the session has none, as in tests.
+    A folder of our own is set only where the session has none and everything
+    runs on one machine, as in tests.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
     return context.getCheckpointDir()
 
 
+#: Tables of this process that are still there, by path.
+_MADE: dict[str, SparkSession] = {}
+
+
 def durable(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: (table, its path).
 
     Cuts lineage, so that what follows neither recomputes the plan nor can see
-    another outcome of it when an executor is lost.
+    another outcome of it when an executor is lost. The table goes with discard(),
+    at the end of a scratch() block, or at last with the process.
     """
     spark = df.sparkSession
     _importable(spark)
     path = f"{_shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -71,3 +83,21 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+        _MADE.pop(path, None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Delete the tables made inside the block at its end, but for paths added to the set it yields."""
+    before, kept = set(_MADE), set()
+    try:
+        yield kept
+    finally:
+        discard(spark, *(set(_MADE) - before - kept))
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path, spark in list(_MADE.items()):
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            discard(spark, path)

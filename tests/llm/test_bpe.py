@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 
 import numpy as np
 import public_tokenizers as P
@@ -55,6 +56,32 @@ def test_cuts_do_not_change_ids(coder, size, monkeypatch):
         assert joined == coder.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("size", [2, 3, 7])
+def test_runs_are_the_matches_they_are(coder, size):
+    runs = re.compile(f"[{bpe.WHITE_SPACE}]{{{size},}}")
+    texts = ["a   b", "   a", "a   ", "   ", "a\n\n\n\n b", "a \t\xa0\u3000 'll", "x      \n\n      1", "a\x1c\x1c\x1c\x1cb", "é\u2003\u2003\u2003\u2003!   "]
+    for text in texts:
+        for cut in (1, 50):
+            found = list(bpe.pieces(text, cut, runs))
+            assert "".join(p for p, _ in found) == text
+            joined = [i for p, whole in found for i in (coder._encode_single_piece(p) if whole else coder.encode_ordinary(p))]
+            assert joined == coder.encode_ordinary(text), text
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\xa0", " \n"])
+def test_very_long_white_space(coder, space):
+    """Runs the library can't match; split at the run, it encodes each side alone."""
+    run = space * (1_200_000 // len(space))
+    ids = lambda t: np.frombuffer(bpe.encode_text(t, PATH, P.PATTERN), "<u4").tolist()
+    one = coder._encode_single_piece
+    tail = run[-1]
+    assert ids(run) == one(run)
+    assert ids(run + "word") == one(run[:-1]) + coder.encode_ordinary(tail + "word")
+    assert ids("word" + run) == coder.encode_ordinary("word") + one(run)
+    assert ids("a b" + run + "c  d") == coder.encode_ordinary("a b") + one(run[:-1]) + coder.encode_ordinary(tail + "c  d")
+    assert bpe.decode_ids(bpe.encode_text("a" + run + "b", PATH, P.PATTERN), PATH, P.PATTERN) == ("a" + run + "b").encode()
+
+
 def test_operators_and_clashing_columns(spark, coder):
     df = spark.createDataFrame([("abc d", "x")], "text string, ids string")
     out = bpe.decode(bpe.encode(df, "text", PATH, P.PATTERN), "ids", PATH, P.PATTERN).first()
