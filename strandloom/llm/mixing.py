@@ -1,10 +1,11 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Every document falls into a block of its source, chosen by a hash, and blocks
-are in hash order, so consecutive blocks are a random draw from the source. A
-source's quota is a whole number of block draws: as many rounds over all of its
-blocks as fit its target, then the first blocks of one more round, the last of
-them cut at the document that brings the words nearest to the target.
+Every document falls into a block of its source, chosen by a hash of its id,
+text and source, and every round goes through a source's blocks in a permutation
+of its own. A source's quota is a whole number of block draws: as many rounds
+over all of its blocks as fit its target, then the first blocks of one more
+round, the last of them cut at the document that brings the words nearest to the
+target.
 
 The tree hands those quotas to the output shards. Its root holds the quota of
 every source; a node passes to its left half a multivariate-hypergeometric draw
@@ -21,8 +22,11 @@ the same mix.
 Defined results
     null or blank text   size 0; drawn with its block, and adds no words
     null source          a source of its own, ordered last
-    repeated rows        each is drawn on its own; rows alike in id and text share a place
-    ties                 broken by the hash order of block and document, then by id
+    null or repeated id  the text and the source tell rows apart
+    repeated rows        each is drawn on its own: rows alike in id, text and source are
+                         numbered, and which of them has which number does not matter
+    very long text       counted whole; a block holds it whole
+    ties                 broken by the hash order of block and document
     no words at all      every target is 0 and nothing is taken
     empty table          empty result
     clashing columns     only the named columns are read; others pass through mix()
@@ -53,6 +57,8 @@ SHARD_WORDS = 1_000_000
 BLOCK_ROWS = 2_000
 #: Blocks in one part of the two-level running sum over a source's blocks.
 PART_BLOCKS = 256
+#: Multipliers of the rounds' block permutations: primes above any number of blocks.
+STRIDES = (1_000_000_007, 2_147_483_647, 1_000_000_009, 1_999_999_973)
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -97,6 +103,12 @@ def _unit(*parts: Column) -> Column:
     return F.xxhash64(*parts, F.lit(SEED))
 
 
+def permuted(block: str, blocks: str, round_: Column) -> Column:
+    """Position of a block in a round's permutation of a source's blocks."""
+    stride = F.element_at(F.array(*[F.lit(x).cast("long") for x in STRIDES]), (round_ % len(STRIDES) + 1).cast("int"))
+    return F.pmod(F.col(block) * stride, F.col(blocks))
+
+
 def _split(node: str, quotas: np.ndarray, left: int, seed: int) -> np.ndarray:
     """Blocks of each source that go left: an exact multivariate-hypergeometric draw."""
     key = np.random.SeedSequence([seed, *node.encode()])
@@ -145,25 +157,54 @@ def split_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
 
 def _running(blocks: DataFrame) -> DataFrame:
-    """Add the words of a source's blocks before each block, in two levels."""
-    blocks = blocks.withColumn("part", F.floor(F.col("block") / PART_BLOCKS))
+    """Add the words of a source's blocks at smaller places, in two levels."""
+    blocks = blocks.withColumn("part", F.floor(F.col("place") / PART_BLOCKS))
     parts = blocks.groupBy("idx", "part").agg(F.sum("words").alias("part_words"))
     over_parts = W.partitionBy("idx").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("idx", "part", F.coalesce(F.sum("part_words").over(over_parts), F.lit(0)).alias("part_before"))
-    inside = W.partitionBy("idx", "part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("idx", "part").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     return blocks.join(parts, ["idx", "part"]).withColumn(
         "before", F.col("part_before") + F.coalesce(F.sum("words").over(inside), F.lit(0))
     )
 
 
-def plan(docs: DataFrame, doc_id: str, text: str, source: str, weights=WEIGHTS, most=MOST, seed=SEED):
-    """Tables that place every document: sources, and the draws of each block."""
-    narrow, _ = durable(
+def _apart(rows: DataFrame) -> DataFrame:
+    """Give rows alike in h different ones, by numbering them.
+
+    n holds the rows' numbers as written, ascending inside each part. Copies are
+    counted by part and numbered inside it, so that a hash which a large share of
+    all rows has is never gathered.
+    """
+    alike = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
+    if alike.isEmpty():
+        return rows.drop("n")
+    copies = rows.select("h", "n", F.shiftright("n", 33).alias("part")).join(alike, "h")
+    before = F.sum("k").over(W.partitionBy("h").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    parts = copies.groupBy("h", "part").agg(F.count("*").alias("k")).select("h", "part", F.coalesce(before, F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(W.partitionBy("h", "part").orderBy("n")) - 1
+    numbered = copies.withColumn("inside", inside).join(parts, ["h", "part"]).select("n", (F.col("ahead") + F.col("inside")).alias("copy"))
+    told = rows.join(numbered.where("copy > 0"), "n", "left")
+    return told.withColumn("h", F.when(F.col("copy").isNull(), F.col("h")).otherwise(F.xxhash64("h", "copy"))).drop("n", "copy")
+
+
+def _settled(docs: DataFrame, doc_id: str, text: str, source: str, keep: list[str] | None) -> DataFrame:
+    """The documents with their hash, source and words, written once: (row, source, h, words)."""
+    found, _ = durable(
         docs.select(
-            F.col(source).alias("source"), _unit(F.col(doc_id)).alias("h"), words(F.col(text)).alias("words")
+            F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col(source).alias("source"),
+            _unit(F.col(doc_id), F.col(text), F.col(source)).alias("h"), words(F.col(text)).alias("words"),
+            F.monotonically_increasing_id().alias("n"),
         ),
-        "mix-words",
-    )
+        "mix-rows",
+    )
+    return _apart(found)
+
+
+def plan(narrow: DataFrame, weights=WEIGHTS, most=MOST, seed=SEED):
+    """Tables that place every document: sources, and the draws of each block.
+
+    narrow: source, h, words; a row for each document.
+    """
     sizes = narrow.groupBy("source").agg(F.sum("words").alias("source_size"), F.count("*").alias("rows"))
     counted = targets(sizes, weights, most).join(
         sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))
@@ -184,7 +225,8 @@ def plan(docs: DataFrame, doc_id: str, text: str, source: str, weights=WEIGHTS,
     held = placed.groupBy("idx", "block").agg(F.sum("words").alias("words"))
     every = sources.select("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
     sums, _ = durable(every.join(held, ["idx", "block"], "left").fillna(0, "words"), "mix-blocks")
-    blocks = _running(sums).join(sources.select("idx", "rest", "rounds", "n_blocks"), "idx")
+    blocks = sums.join(sources.select("idx", "rest", "rounds", "n_blocks"), "idx")
+    blocks = _running(blocks.withColumn("place", permuted("block", "n_blocks", F.col("rounds"))))
     whole = F.col("before") + F.col("words") <= F.col("rest")
     blocks, _ = durable(
         blocks.select(
@@ -213,7 +255,7 @@ def plan(docs: DataFrame, doc_id: str, text: str, source: str, weights=WEIGHTS,
     draws, _ = durable(
         blocks.select(
             "idx", "block", F.when(partly, F.col("rounds")).alias("cut_round"), "h_cut", "n_blocks", F.explode(taken).alias("round")
-        ).withColumn("draw", F.col("round") * F.col("n_blocks") + F.col("block")),
+        ).withColumn("draw", F.col("round") * F.col("n_blocks") + permuted("block", "n_blocks", F.col("round"))),
         "mix-draws",
     )
     words_out = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -248,21 +290,20 @@ def in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def placements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def placements(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, **options
+) -> DataFrame:
     """Every document with its draws: (row, size, source_size, target, draws).
 
-    row is a struct of the document's own columns; draws is an array of
-    (round, shard), empty where the mix leaves the document out.
+    row is a struct of the document's own columns, or of those in keep; draws is
+    an array of (round, shard), empty where the mix leaves the document out.
     """
-    sources, homes = plan(docs, doc_id, text, source, **options)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(source).alias("source"), _unit(F.col(doc_id)).alias("h"), words(F.col(text)).alias("size"),
-    )
+    rows = _settled(docs, doc_id, text, source, keep)
+    sources, homes = plan(rows.select("source", "h", "words"), **options)
     found = in_blocks(rows, sources).join(homes, ["idx", "block"], "left")
     held = F.filter("draws", lambda d: F.col("cut_round").isNull() | (d["round"] < F.col("cut_round")) | (F.col("h") <= F.col("h_cut")))
     none = F.array().cast("array<struct<round:bigint,shard:bigint>>")
-    return found.select("row", "h", "size", "source_size", "target", F.coalesce(held, none).alias("draws"))
+    return found.select("row", "h", F.col("words").alias("size"), "source_size", "target", F.coalesce(held, none).alias("draws"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from strandloom.llm.mixing import placements
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    found = placements(docs.select("doc_id", "text", "source"))
+    found = placements(docs, keep=["doc_id"])
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         "size",

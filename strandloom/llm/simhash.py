@@ -8,14 +8,18 @@ half way: a fingerprint goes to its own grid point and to the points one step
 away, and two vectors at distance two or less share such a point. Pairs that
 meet are then verified on the fingerprints.
 
-A grid point that many fingerprints share is not paired up: there each
-fingerprint is expanded to itself and its one-bit flips, and two fingerprints
-differ in at most two bits exactly if they share such a word. A star from the
-smallest fingerprint of a word then links the same groups with as many rows as
-there are expansions, whatever the size of the group.
+A grid point that many fingerprints share is not paired up but gridded again
+with the finest segments, of one bit: there a count is a bit, a step is a flip,
+and the lower bound is the distance itself. Two fingerprints that meet on this
+grid need no check, so a star from the smallest one of a point links the same
+groups with as many rows as there are steps, whatever the size of the group.
+Of random fingerprints, two share a point of the coarse grid with probability
+1e-9, so points hold PAIR_LIMIT of them from about a billion different
+fingerprints on; below, only groups of near copies are gridded twice.
 
 Defined results
     null or blank text  fingerprint zero, linked like any other
+    very long text      every shingle counts; held whole, hashed in blocks
     under three words   the whole word sequence is the one shingle
     ties, repeated rows equal fingerprints are one class before anything is joined
     null doc_id         linked like others; a group's id is its smallest known id
@@ -37,8 +41,10 @@ SHINGLE_WORDS = 3
 SEED = 42
 SEGMENTS = 16
 SEGMENT_BITS = 4
-#: Above this many fingerprints at one grid point, words replace pairs there.
+#: Above this many fingerprints at one grid point, the finest grid replaces pairs there.
 PAIR_LIMIT = 32
+#: Fingerprints that one task maps to grid points, 33 each.
+GRID_ROWS, MOST_TASKS = 50_000, 20_000
 
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -106,7 +112,8 @@ def near_links(fps: DataFrame) -> DataFrame:
 
     fps: distinct fingerprints in a column fp.
     """
-    met = fps.select("fp", F.explode(_grid_points(F.col("fp"))).alias("point"))
+    tasks = min(MOST_TASKS, 1 + fps.count() // GRID_ROWS)
+    met = fps.repartition(tasks, "fp").select("fp", F.explode(_grid_points(F.col("fp"))).alias("point"))
     sizes = met.groupBy("point").agg(F.count("*").alias("n")).where("n > 1")
     placed, _ = durable(met.join(sizes, "point"), "simhash-grid")
     small = placed.where(F.col("n") <= PAIR_LIMIT)
@@ -124,16 +131,46 @@ def near_links(fps: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def groups(prints: DataFrame) -> DataFrame:
+    """Group of every distinct fingerprint: fp, root (the smallest fingerprint of the group), component_id.
+
+    prints: doc_id, fp; a row for each document.
+    """
+    classes, _ = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
+    linked = components(near_links(classes.select("fp")), "a", "b")
+    labelled = classes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return labelled.join(smallest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, fp (long), root (its group's smallest fingerprint), component_id."""
     prints, _ = durable(
         bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "simhash-prints"
     )
-    classes, _ = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    groups = components(near_links(classes.select("fp")), "a", "b")
-    labelled = classes.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = labelled.join(smallest, "root").select("fp", "root", "component_id")
-    return prints.join(members, "fp").select("doc_id", "fp", "root", "component_id")
+    return prints.join(groups(prints), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies, with docs' columns: the row with the smallest id.
+
+    Among rows that share it, or where a group has no ids, the row with the
+    smallest hash. Rows are numbered once and for all by writing them, so each
+    group keeps exactly one, whatever ids are null or repeated, and no group is
+    gathered: its first row is a map-side aggregation.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows, _ = durable(
+        bounded_batches(docs).select(
+            F.struct(*own).alias("row"), F.col(doc_id).alias("id"), fingerprint_column(F.col(text)).alias("fp"),
+            F.xxhash64(*own).alias("h"), F.monotonically_increasing_id().alias("n"),
+        ),
+        "simhash-rows",
+    )
+    first = lambda c: F.min(c).alias("first")
+    heads = rows.groupBy("fp").agg(first(F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "n")))
+    of_group = heads.join(groups(rows.select(F.col("id").alias("doc_id"), "fp")), "fp").groupBy("root").agg(first("first"))
+    kept = of_group.select(F.col("first.n").alias("n"))
+    return rows.select("row", "n").join(kept, "n").select("row.*")

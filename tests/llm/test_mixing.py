@@ -60,9 +60,34 @@ def test_test_tables(sample, monkeypatch):
 
 
 def test_nasty_texts(nasty):
-    rows = placements(nasty).collect()
-    assert len(rows) == nasty.count()
-    assert all(len(r["draws"]) <= 3 for r in rows)
+    check(nasty)
+
+
+@pytest.mark.parametrize(
+    ("ids", "text"),
+    [
+        ("null", "concat('text ', id, repeat(' word', cast(id % 9 as int)))"),
+        ("id % 3", "repeat('word ', cast(id % 4 as int))"),
+        ("if(id % 2 = 0, null, 7)", "'five words in this text'"),
+    ],
+)
+def test_null_and_repeated_ids(spark, ids, text, monkeypatch):
+    """Targets are met however rows repeat, also where most of them are one row."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1_000)
+    docs = spark.range(0, 900, 1, 5).selectExpr(
+        f"cast({ids} as long) AS doc_id", f"{text} AS text", "case when id % 3 > 0 then 'a' when id % 2 = 0 then 'b' end AS source"
+    )
+    check(docs)
+
+
+def test_rounds_are_permutations(spark):
+    sizes = spark.createDataFrame([(n,) for n in (1, 2, 7, 64, 1000)], "n long").selectExpr("n", "explode(sequence(0L, n - 1)) AS block")
+    for r in range(5):
+        places = sizes.select("n", "block", mixing.permuted("block", "n", F.lit(r)).alias("p")).collect()
+        for n in (1, 2, 7, 64, 1000):
+            assert sorted(x["p"] for x in places if x["n"] == n) == list(range(n))
+    assert [x["p"] for x in places if x["n"] == 1000] != list(range(1000))
 
 
 def test_capped_sources(spark):
