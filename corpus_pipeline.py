@@ -9,19 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from strandloom.llm import mixing, pii
-from strandloom.llm.common import durable, table
+from strandloom.llm.common import discard, durable, scratch, table
 from strandloom.llm.langid import identify_documents
 from strandloom.llm.queries.op06 import digests
-from strandloom.llm.simhash import fingerprint_column, near_duplicates
+from strandloom.llm.simhash import representatives
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; lang becomes the identified one, rejected documents go."""
+    """Documents in a language; lang becomes the identified one, rejected documents go.
+
+    Null, empty and letterless texts are rejected. Null declarations and sources
+    are silent evidence. Repeated rows fare alike; extra columns are not read.
+    """
     found = identify_documents(docs.select(*COLUMNS)).where(~F.col("rejected"))
     return found.select("row.doc_id", "row.text", "lang", "row.source", "row.n_chars")
 
@@ -29,28 +32,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    A group without any id keeps one of its rows; of rows that share an id one
-    stays.
+    A group without any id keeps one of its rows. Rows are told apart by more
+    than their id: texts that share one stay if they are no copies. Null and
+    blank texts are copies of each other. Extra columns are not read.
     """
-    docs = docs.select(*COLUMNS)
-    groups, _ = durable(near_duplicates(docs), "near-copies")
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    text_order = [F.xxhash64("text"), F.col("text")]
-    by_id = F.row_number().over(W.partitionBy("doc_id").orderBy(*text_order))
-    named = docs.join(kept, "doc_id").select(*COLUMNS, by_id.alias("_nth"))
-
-    nameless = groups.where("component_id is null").select("fp", "root").distinct()
-    by_group = F.row_number().over(W.partitionBy("root").orderBy(*text_order))
-    unnamed = docs.where("doc_id is null").select(*COLUMNS, fingerprint_column(F.col("text")).alias("fp"))
-    unnamed = unnamed.join(nameless, "fp").select(*COLUMNS, by_group.alias("_nth"))
-    return named.unionByName(unnamed).where("_nth = 1").drop("_nth")
+    return representatives(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each found span replaced by the name of its kind."""
-    model = pii.fit(docs.select(pii.candidates("text").alias("spans")))
-    found = docs.select(*COLUMNS, pii.candidates("text").alias("spans"))
-    found = found.withColumn("spans", pii.accepted("spans", model))
+    """Documents with each found span replaced by the name of its kind.
+
+    Null and empty texts stay as they are. n_chars becomes the new length where
+    something was replaced. Extra columns are not read.
+    """
+    found, _ = durable(docs.select(*COLUMNS, pii.candidates("text").alias("spans")), "pipeline-spans")
+    found = found.withColumn("spans", pii.accepted("spans", pii.fit(found.select("spans"))))
     marked = F.size("spans") > 0
     return found.select(
         "doc_id",
@@ -62,12 +58,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time a document is drawn."""
+    """The mix: a row for each time a document is drawn.
+
+    Texts without words are drawn with their block. Null sources are one source.
+    Repeated rows are drawn on their own. Extra columns are not read.
+    """
     return mixing.mix(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digest of the encoded and decoded documents."""
+    """Digest of the encoded and decoded documents; null texts count as empty ones."""
     return digests(docs)
 
 
@@ -80,12 +80,18 @@ STAGES = [
 ]
 
 #: SQL has neither the trained models nor the hashes of the stages; tests hold
-#: each stage against a brute-force version.
+#: each stage against a version in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage. What a stage wrote goes as soon as the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            docs, path = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.add(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
