@@ -1,30 +1,36 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-The pages of a host are aligned with one of them, the reference: the page whose
-length is nearest to the host's median. Alignment is simple tree matching: two
-elements match if their labels are equal, and their children are matched in
-order so that most nodes are paired. A reference element whose own text is the
-same on nearly all pages that match it, among pages that differ from the
-reference, is template; elements whose text varies are content slots. What a
-page has beyond its reference is content as well.
+The pages of a host that share a layout (the set of class names of their larger
+elements) are aligned with one of them, the reference: the page whose length is
+nearest to the median. Layouts of fewer than 2 * MIN_PAGES pages share one
+reference of their host. Alignment is simple tree matching: two elements match
+if their labels are equal, and their children are matched in order so that most
+nodes are paired. A reference element whose own text is the same on nearly all
+pages that match it is template; elements whose text varies are content slots.
+Pages with the reference's headings and most of its text are copies of it, and no
+evidence. What a page has beyond its reference is content as well.
 
 The text is then read from the article (else the main part, else the body) of
-each page: template elements go, and so do elements that are navigation,
-headers, footers, asides, forms, adverts, notices or comments by their tag or
-by a word of their class, id or role. Inside an article or main part a
-paragraph, heading or list item stays even if many pages share it, since that is
-how quoted passages look.
-
-Every page takes part in the counts; they are summed by host and element inside
+each page. Template goes: outside an article every constant element, inside one
+constant blocks, with their headings where a heading introduces nothing else.
+Constant headings and labels of content stay, and so do constant phrases inside
+a varying block. What varies and still is no content goes by its tag, role or
+class: navigation, headers, footers, asides, forms, adverts, notices, comments.
+A class counts if all its words name such parts or their layout, and an id only
+outside articles, since ids there are mostly made from headings.
+
+Every page takes part in the counts; they are summed by site and element inside
 the tasks first, so a host of any size is spread over all of them. The driver
-holds nothing. Reference and template of each host reach the pages by a join,
-which broadcasts them only if their measured size is within BROADCAST_BYTES.
+holds nothing. Reference and template of each site reach the pages by a join
+that broadcasts them only if their measured size allows, and deals the pages of
+a hot host to many tasks beyond.
 
 Defined results
     null or empty html          empty text
     unparsable or cut-off html  read as far as it goes, open elements end with the page
     null or unparsable url      such pages form one group of their own without template
-    a host with few pages       no template, the rest applies
+    fewer than MIN_PAGES pages  as evidence: no template, the rest applies
+    null or repeated ids        ids are not used
     very long pages             read whole
     repeated rows               each has its own result; copies of the reference are no evidence
     empty table                 empty result
@@ -33,6 +39,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections import OrderedDict
@@ -43,12 +50,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bounded_batches, durable
+from strandloom.llm.common import bounded_batches, durable, spread_join
 
 #: Pages that must match an element, and share of them that must agree, to make it template.
 MIN_PAGES = 5
 SAME_SHARE = 0.8
-BROADCAST_BYTES = 32 << 20
+#: Share of a page's text that it has in common with its copy, with the same headings and without any.
+COPY_SHARE, BARE_COPY_SHARE = 0.5, 0.9
 
 # Fixed values of the HTML standard, and words that name boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,22 +66,69 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption b i em strong a span u code".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLES = HEADINGS | frozenset("dt th caption figcaption legend summary".split())
 ENDS_P = BLOCK - frozenset("body html tbody td tfoot th thead tr legend dd dt li summary".split())
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tr select menu article body html div section main".split())
-NO_TEXT = frozenset("head script style title textarea noscript template iframe select option button svg math canvas object embed audio video".split())
+NO_TEXT = frozenset("head script style title textarea noscript template iframe select option button svg annotation annotation-xml canvas object embed audio video".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
+BOILER_ROLES = frozenset("navigation search complementary contentinfo banner form menu menubar dialog alertdialog toolbar".split())
 BOILER_WORDS = frozenset(
-    "ad ads advert advertisement advertising adbox adslot banner sponsor sponsored promo promotion comment comments reply replies disqus sidebar "
-    "menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter "
-    "subscribe subscription share sharing social related recommended recommendations widget pagination pager toolbar contentinfo complementary search login".split()
+    "ad ads advert adverts advertisement advertisements advertising adbox adslot adunit banner sponsor sponsored promo promos promotion comment comments "
+    "reply replies respond disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices "
+    "popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar "
+    "contentinfo complementary search login".split()
+)
+# Words that say nothing about content beside one of the above.
+LAYOUT_WORDS = frozenset(
+    "bar box list section block wrapper wrap container content inner outer area item items link links button buttons btn form left right top bottom main "
+    "page site global primary secondary widget widgets panel slot unit label header head title body text count reader readers user users js sticky fixed "
+    "full post posts article articles story stories entry icons icon strip row col column group thread section sections by on and the our".split()
 )
+COMMENT_IDS = frozenset("comments comment-list reader-comments user-comments disqus_thread respond".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.DOTALL
 )
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MARKED = re.compile(r"class|id|role", re.IGNORECASE)
+_SPLIT = re.compile(r"[^a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_DIGITS = re.compile(r"\d+")
+
+#: How sure a mark is: an id inside an article is no mark, the others always are.
+WEAK, STRONG = 1, 2
+
+
+def marks(attributes: str | None) -> dict[str, str]:
+    """Class, id and role of a tag's attribute text; the first of a name counts."""
+    out: dict[str, str] = {}
+    if attributes and "=" in attributes and _MARKED.search(attributes):
+        for m in _ATTRIBUTE.finditer(attributes):
+            if (name := m[1].lower()) in ("class", "id", "role"):
+                out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return out
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def names_boilerplate(name: str) -> bool:
+    """Whether one class or id consists of words for boilerplate and its layout."""
+    words = [w for w in _SPLIT.split(_HUMP.sub("-", name).lower()) if len(w) > 1]
+    return any(w in BOILER_WORDS for w in words) and all(w in BOILER_WORDS or w in LAYOUT_WORDS for w in words)
+
+
+def _boiler(tag: str, marked: dict[str, str]) -> int:
+    if tag in BOILER_TAGS:
+        return STRONG
+    if not marked or tag in ("html", "body", "main"):
+        return 0
+    if marked.get("role", "").strip().lower() in BOILER_ROLES or any(map(names_boilerplate, marked.get("class", "").split())):
+        return STRONG
+    name = marked.get("id", "").strip()
+    if not name or tag in PROSE:
+        return 0
+    return STRONG if name.lower() in COMMENT_IDS else WEAK if names_boilerplate(name) else 0
 
 
 @dataclass
@@ -84,16 +139,19 @@ class Page:
     labels: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     children: list[list[int]] = field(default_factory=list)
-    boiler: list[bool] = field(default_factory=list)
+    #: WEAK or STRONG where a mark names boilerplate, else 0.
+    boiler: list[int] = field(default_factory=list)
+    main: list[bool] = field(default_factory=list)
     #: Text, or None for the begin or end of a block or a line break.
     runs: list[tuple[int, str | None, bool]] = field(default_factory=list)
 
-    def add(self, tag: str, label: str, parent: int, boiler: bool) -> int:
+    def add(self, tag: str, label: str, parent: int, boiler: int, main: bool = False) -> int:
         self.tags.append(tag)
         self.labels.append(label)
         self.parents.append(parent)
         self.children.append([])
         self.boiler.append(boiler)
+        self.main.append(main)
         if parent >= 0:
             self.children[parent].append(len(self.tags) - 1)
         return len(self.tags) - 1
@@ -102,7 +160,7 @@ class Page:
 def parse(source: str | None) -> Page:
     """A page's elements and text runs, with the standard's implied end tags."""
     page, text = Page(), source or ""
-    open_ = [page.add("#root", "#root", -1, False)]
+    open_ = [page.add("#root", "#root", -1, 0)]
     at = 0
     lower = None
 
@@ -143,15 +201,14 @@ def parse(source: str | None) -> Page:
                     break
                 if tag in SCOPES and tag not in rivals:
                     break
-        attributes = found[3]
-        marks = [] if not attributes or "=" not in attributes else [m[2] or m[3] or m[4] or "" for m in _NAMES.finditer(attributes)]
-        named = " ".join(marks).lower()
-        boiler = name in BOILER_TAGS or bool(named) and any(w in BOILER_WORDS for w in _SPLIT.split(named))
-        label = f"{name}.{named}" if named else name
+        marked = marks(found[3])
+        boiler = _boiler(name, marked)
+        shown = [marked.get("class", ""), marked.get("role", ""), "" if name in PROSE else marked.get("id", "")] if marked else []
+        label = _DIGITS.sub("0", ".".join([name, *(x.strip().lower() for x in shown if x)]))
         if name == "br" or name == "hr":
             page.runs.append((open_[-1], " " if name == "br" else None, name == "hr"))
             continue
-        here = page.add(name, label, open_[-1], boiler)
+        here = page.add(name, label, open_[-1], boiler, name == "main" or marked.get("role", "").strip().lower() == "main")
         if name in VOID:
             continue
         if name in RAW:
@@ -171,16 +228,17 @@ def parse(source: str | None) -> Page:
     return page
 
 
-def own_texts(page: Page) -> list[int]:
-    """Hash of each element's own text; 0 without any."""
+def own_texts(page: Page) -> tuple[list[int], list[int]]:
+    """Hash of each element's own text, 0 without any, and its characters."""
     held: dict[int, list[str]] = {}
     for element, run, _ in page.runs:
         if run is not None and not run.isspace():
             held.setdefault(element, []).append(" ".join(run.split()))
-    out = [0] * len(page.tags)
+    out, sizes = [0] * len(page.tags), [0] * len(page.tags)
     for element, runs in held.items():
         out[element] = hash(tuple(runs)) or 1
-    return out
+        sizes[element] = sum(map(len, runs))
+    return out, sizes
 
 
 class Aligner:
@@ -269,64 +327,99 @@ class Aligner:
 def main_text(page: Page, template: set[int] | frozenset = frozenset()) -> str:
     """Blocks of the main part, joined by line breaks. template: the page's template elements."""
     n = len(page.tags)
-    role = [0] * n  # 1: inside an article or main part
-    roots = {i for i, t in enumerate(page.tags) if t == "article" and not page.boiler[i]}
-    roots = roots or {i for i, t in enumerate(page.tags) if t == "main" or page.labels[i].endswith(".main")}
-    dropped = [False] * n
+    inside = [False] * n  # of an article or main part
+    block = [0] * n  # the nearest block
+    roots = {i for i, t in enumerate(page.tags) if t == "article" and page.boiler[i] != STRONG}
+    roots = roots or {i for i in range(n) if page.main[i]}
+    own = own_texts(page)[0] if template else []
+    dropped = [0] * n
     for i in range(n):
         parent = page.parents[i]
         if parent >= 0:
-            role[i], dropped[i] = role[parent], dropped[parent]
+            inside[i], dropped[i], block[i] = inside[parent], dropped[parent], block[parent]
+        if page.tags[i] in BLOCK:
+            block[i] = i
         if i in roots:
-            role[i] = 1
-        if page.boiler[i] or page.tags[i] in NO_TEXT or page.tags[i] == "header" and not role[i]:
-            dropped[i] = True
-    blocks, line = [], []
+            inside[i] = True
+            dropped[i] = STRONG if dropped[i] == STRONG else 0  # an id about an article does not unmake it
+        mark = page.boiler[i]
+        if mark == STRONG or page.tags[i] in NO_TEXT or page.tags[i] == "header" and not inside[i]:
+            dropped[i] = STRONG
+        elif mark and not inside[i]:
+            dropped[i] = dropped[i] or WEAK
+
+    def constant(element: int) -> bool:
+        """Whether a template element's text goes."""
+        if not inside[element]:
+            return True
+        if page.tags[element] in TITLES:
+            return False
+        around = block[element]
+        return around == element or around in template or not own[around]
+
+    # blocks as (text, title that is template, whether template text went here)
+    blocks, line, title, gone = [], [], True, False
+
+    def end():
+        nonlocal line, title, gone
+        text = " ".join("".join(line).split())
+        if text or gone:
+            blocks.append((text, bool(text) and title))
+        line, title, gone = [], True, False
+
     for element, run, breaks in page.runs:
         if breaks:
-            if line:
-                blocks.append(" ".join("".join(line).split()))
-                line = []
-        elif not dropped[element] and (role[element] or not roots):
-            if element in template and not (role[element] and page.tags[element] in PROSE):
+            end()
+        elif not dropped[element] and (inside[element] or not roots):
+            if element in template and constant(element):
+                gone = gone or not run.isspace()
                 continue
+            if not run.isspace():
+                title = title and element in template and page.tags[element] in HEADINGS
             line.append(entities.unescape(run) if "&" in run else run)
-    if line:
-        blocks.append(" ".join("".join(line).split()))
-    return "\n".join(b for b in blocks if b)
+    end()
+    # a constant heading goes with the constant text that it introduces
+    out, follows_gone = [], False
+    for text, is_title in reversed(blocks):
+        if not text:
+            follows_gone = True
+        elif not (is_title and follows_gone):
+            out.append(text)
+            follows_gone = follows_gone and is_title
+    return "\n".join(reversed(out))
 
 
 class _Kept(OrderedDict):
-    """The parsed references of the last hosts."""
+    """The parsed references of the last sites."""
 
-    def page(self, source: str) -> tuple[Page, list[int]]:
+    def page(self, source: str) -> tuple[Page, list[int], tuple[int, ...]]:
         if source not in self:
             if len(self) >= 256:
                 self.popitem(last=False)
             page = parse(source)
-            self[source] = (page, own_texts(page))
+            texts = own_texts(page)[0]
+            self[source] = (page, texts, headings(page, texts))
         self.move_to_end(source)
         return self[source]
 
 
-def _sized(small: DataFrame, sized: str) -> DataFrame:
-    """Broadcast a side whose measured bytes are within the limit; shuffle beyond."""
-    measured = small.agg(F.sum(F.length(sized) + 64)).first()[0] or 0
-    return F.broadcast(small) if measured <= BROADCAST_BYTES else small
+def headings(page: Page, texts: list[int]) -> tuple[int, ...]:
+    return tuple(x for t, x in zip(page.tags, texts, strict=True) if x and t in HEADINGS)
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """One page of each host: (host, reference), the one nearest to the median length."""
-    sizes = pages.where("host is not null").select("host", "page", F.length("html").alias("n"))
-    middle = sizes.groupBy("host").agg(F.percentile_approx("n", 0.5, 1000).alias("middle"))
-    near = sizes.join(middle, "host").groupBy("host").agg(F.min(F.struct(F.abs(F.col("n") - F.col("middle")), "page")).alias("pick"))
-    picked, _ = durable(near.select("host", F.col("pick.page").alias("page")), "html-picks")
-    found = pages.join(_sized(picked, "host"), ["host", "page"]).groupBy("host").agg(F.min("html").alias("reference"))
-    return durable(found, "html-references")[0]
+    """One page of each site: (site, reference), the one nearest to the median length."""
+    sizes = pages.where("site is not null and html is not null").select("site", F.length("html").alias("n"), F.xxhash64("html").alias("page"))
+    middle, _ = durable(sizes.groupBy("site").agg(F.percentile_approx("n", 0.5, 1000).alias("middle")), "html-middles")
+    near = spread_join(sizes, middle, "site", 128, "inner")
+    near = near.groupBy("site").agg(F.min(F.struct(F.abs(F.col("n") - F.col("middle")).alias("off"), "page")).alias("pick"))
+    picked, _ = durable(near.select("site", F.col("pick.page").alias("picked")), "html-picks")
+    found = spread_join(pages.select("site", "html"), picked, "site", 128, "inner").where(F.xxhash64("html") == F.col("picked"))
+    return durable(found.groupBy("site").agg(F.min("html").alias("reference")), "html-references")[0]
 
 
-def templates(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """Template elements of each host: (host, reference, template array<int>)."""
+def templates(pages: DataFrame, known: DataFrame, min_pages: int = MIN_PAGES, same_share: float = SAME_SHARE) -> DataFrame:
+    """Template elements of each site: (site, reference, template array<int>)."""
 
     def count(batches):
         aligner, kept, sums = Aligner(), _Kept(), {}
@@ -334,42 +427,61 @@ def templates(pages: DataFrame, known: DataFrame) -> DataFrame:
         def emptied():
             rows = [(h, list(range(len(m))), m.tolist(), s.tolist()) for h, (m, s) in sums.items()]
             sums.clear()
-            return pd.DataFrame(rows, columns=["host", "element", "matched", "same"])
+            return pd.DataFrame(rows, columns=["site", "element", "matched", "same"])
 
         for batch in batches:
-            for host, source, reference in zip(batch["host"], batch["html"], batch["reference"], strict=True):
+            for site, source, reference in zip(batch["site"], batch["html"], batch["reference"], strict=True):
                 if source == reference:
                     continue
-                ref, ref_texts = kept.page(reference)
+                ref, ref_texts, ref_headings = kept.page(reference)
                 page = parse(source)
-                texts = own_texts(page)
-                matched, same = sums.setdefault(host, (np.zeros(len(ref.tags), np.int64), np.zeros(len(ref.tags), np.int64)))
-                for j, i in enumerate(aligner.align(ref, page)):
-                    if i >= 0 and ref_texts[i]:
-                        matched[i] += 1
-                        same[i] += ref_texts[i] == texts[j]
+                texts, sizes = own_texts(page)
+                pairs = [(i, j) for j, i in enumerate(aligner.align(ref, page)) if i >= 0 and ref_texts[i]]
+                if headings(page, texts) == ref_headings:
+                    common = sum(sizes[j] for i, j in pairs if ref_texts[i] == texts[j])
+                    if common >= (COPY_SHARE if ref_headings else BARE_COPY_SHARE) * sum(sizes):
+                        continue
+                matched, same = sums.setdefault(site, (np.zeros(len(ref.tags), np.int64), np.zeros(len(ref.tags), np.int64)))
+                for i, j in pairs:
+                    matched[i] += 1
+                    same[i] += ref_texts[i] == texts[j]
             if len(sums) > 2_000:
                 yield emptied()
         yield emptied()
 
-    joined = pages.where("host is not null and html is not null").select("host", "html").join(_sized(known, "reference"), "host")
-    counted = joined.mapInPandas(count, "host string, element array<int>, matched array<long>, same array<long>")
-    counted = counted.select("host", F.explode(F.arrays_zip("element", "matched", "same")).alias("c"))
-    summed = counted.groupBy("host", "c.element").agg(F.sum("c.matched").alias("matched"), F.sum("c.same").alias("same"))
-    constant = summed.where((F.col("matched") >= MIN_PAGES) & (F.col("same") >= SAME_SHARE * F.col("matched")))
-    flags = constant.groupBy("host").agg(F.sort_array(F.collect_list("element")).alias("template"))
-    return durable(known.join(flags, "host"), "html-templates")[0]
+    joined = spread_join(pages.where("html is not null").select("site", "html"), known, "site", F.octet_length("reference") + 64, "inner")
+    counted = joined.select("site", "html", "reference").mapInPandas(count, "site string, element array<int>, matched array<long>, same array<long>")
+    counted = counted.select("site", F.explode(F.arrays_zip("element", "matched", "same")).alias("c"))
+    summed = counted.groupBy("site", "c.element").agg(F.sum("c.matched").alias("matched"), F.sum("c.same").alias("same"))
+    constant = summed.where((F.col("matched") >= min_pages) & (F.col("same") >= same_share * F.col("matched")))
+    flags = constant.groupBy("site").agg(F.sort_array(F.collect_list("element")).alias("template"))
+    return durable(known.join(flags, "site"), "html-templates")[0]
+
+
+_CLASSES = r"(?i)<(?:body|main|article|section|div|header|footer|table)\b[^>]*?\bclass\s*=\s*[\"']?([^\"'>]*)"
+
+
+def sites(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Add each row's site, from its host and html: the host and its layout, or the host alone for rare layouts."""
+    classes = F.transform(F.regexp_extract_all("html", F.lit(_CLASSES), F.lit(1)), lambda c: F.regexp_replace(F.lower(c), r"\d+", "0"))
+    layout = F.hex(F.xxhash64(F.array_join(F.array_sort(F.array_distinct(classes)), "|")))
+    marked = rows.withColumn("layout", F.when(F.col("html").isNotNull(), F.concat_ws(" ", "host", layout)))
+    marked = marked.withColumn("layout", F.when(F.col("host").isNotNull(), F.col("layout")))
+    counts = marked.where("layout is not null").groupBy("layout").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * min_pages)
+    frequent, _ = durable(counts.select("layout", F.lit(True).alias("frequent")), "html-layouts")
+    found = spread_join(marked, frequent, "layout", 128)
+    return found.withColumn("site", F.when(F.col("frequent"), F.col("layout")).otherwise(F.col("host"))).drop("layout", "frequent", "host")
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Every row with its main text: (row, text); row is a struct of the caller's columns."""
+def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, same_share: float = SAME_SHARE) -> DataFrame:
+    """Every row with its main text: (row, text); row is a struct of the caller's columns but the html."""
     host = F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = bounded_batches(pages).select(
-        F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"),
-        F.when(host != "", host).alias("host"), F.col(page_id).cast("string").alias("page"), F.col(html).cast("string").alias("html"),
+        F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html]).alias("row"), F.when(host != "", host).alias("host"), F.col(html).cast("string").alias("html")
     )
-    plain = rows.select("host", "page", "html")
-    found = templates(plain, references(plain))
+    rows = sites(rows, min_pages)
+    plain = rows.select("site", "html")
+    found = templates(plain, references(plain), min_pages, same_share)
 
     @F.pandas_udf("string")
     def read(sources: pd.Series, refs: pd.Series, flags: pd.Series) -> pd.Series:
@@ -377,11 +489,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for source, reference, flag in zip(sources, refs, flags, strict=True):
             page, constant = parse(source), frozenset()
             if reference is not None and flag is not None and len(flag):
-                ref, ref_texts = kept.page(reference)
-                marked, texts = set(flag), own_texts(page)
+                ref, ref_texts, _ = kept.page(reference)
+                marked, texts = set(flag), own_texts(page)[0]
                 pairs = enumerate(aligner.align(ref, page))
                 constant = frozenset(j for j, i in pairs if i in marked and texts[j] == ref_texts[i])
             out.append(main_text(page, constant))
         return pd.Series(out, dtype=object)
 
-    return rows.join(_sized(found, "reference"), "host", "left").select("row", read("html", "reference", "template").alias("text"))
+    joined = spread_join(rows, found, "site", F.octet_length("reference") + 64)
+    return joined.select("row", read("html", "reference", "template").alias("text"))
