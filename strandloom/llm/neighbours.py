@@ -5,16 +5,20 @@ keeps distances and spreads what separates two vectors over all axes. Rotated
 vectors are cut into blocks of BLOCK_DIM axes, and each block gets the share of
 the squared-distance budget that its axes have: two vectors within the budget
 are within the share of at least one block, so the union of the blocks' range
-joins holds every pair. Each range join runs on a grid over the first axes of
-its block, with cells as wide as the block's radius, against the cell itself and
-its neighbours; within two cells the block distance decides who is a candidate.
-Candidates are verified with the cosine of the vectors as given, in double
-precision. A pair that several blocks find belongs to the first of them, so
-nothing has to be deduplicated.
+joins holds every pair. Candidates are verified with the cosine of the vectors
+as given, in double precision.
 
-Cells are cut into chunks of bounded size by a hash, so a dense cell makes more
-tiles, not larger ones. A tile reports links as a count for each vector and a
-spanning star for each group in it, never as a list of pairs.
+The range joins run together. Vectors are laid out in chunks of bounded size by
+recursive medians over all rotated axes, whose bounds come from a sample of
+SAMPLE_ROWS; every vector is placed, and a leaf that holds more than a chunk is
+cut by a hash. Two chunks are joined if their bounding boxes are within the share
+of some block, and are visited once for all such blocks: a slice of the pairs is
+tested block by block, and what any block lets through is verified. So no pair is
+tested in more than one visit, and nothing has to be deduplicated.
+
+A visit holds two chunks and one slice, whatever the number of vectors, and a
+dense group makes more visits, not larger ones. It reports links as a count for
+each vector and a spanning star for each group in it, never as a list of pairs.
 
 Vectors that are alike are one class before the join; the copies only add to
 the counts.
@@ -24,13 +28,14 @@ Defined results
     vectors of another length                            are not compared
     ties, repeated rows                                  rows with equal vectors are linked with each
                                                          other, each row counting as one vector
+    repeated ids                                         each row has the links of its own vector
     null id                                              no links, null component, not kept
     empty table                                          empty result
+    clashing columns                                     only the named columns are read
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -39,16 +44,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import vectors
-from strandloom.llm.common import durable
+from strandloom.llm.common import bounded_batches, durable
 from strandloom.llm.graph import components
 
 THRESHOLD = 0.9
 BLOCK_DIM = 16
-GRID_AXES = 2
+#: Vectors of a chunk at most, on average where a leaf is cut by a hash.
 CHUNK_ROWS = 4_096
+#: Vectors that the bounds of the leaves are fitted on, at most.
+SAMPLE_ROWS = 16_384
+#: Chunks whose boxes are compared at once, and pairs that are tested at once.
+BOX_ROWS = 2_048
+SLICE_PAIRS = 1 << 22
+#: Tasks of the visits at most.
+MOST_TASKS = 20_000
 SEED = 8
-#: Slack for rounding, far above the error of double precision and of float32 filters.
-FINE, COARSE = 1e-9, 1e-4
+#: Slack for the rounding of the filters in single precision, far above its error.
+COARSE = 1e-4
 
 
 def rotation(width: int) -> np.ndarray:
@@ -71,16 +83,54 @@ def _budgets(width: int, threshold: float) -> np.ndarray:
     return np.array([total * (b - a) / width for a, b in _blocks(width)])
 
 
-def _cells(rotated: np.ndarray, block: tuple[int, int], budget: float) -> np.ndarray:
-    axes = rotated[:, block[0] : min(block[0] + GRID_AXES, block[1])]
-    found = np.floor(axes / math.sqrt(budget + COARSE)).astype(np.int64)
-    if found.shape[1] < GRID_AXES:
-        found = np.pad(found, ((0, 0), (0, GRID_AXES - found.shape[1])))
-    return found
+class Layout:
+    """Leaves of recursive medians over the rotated axes of vectors of one length."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: int):
+        self.turn = rotation(sample.shape[1])
+        self.axis: list[int] = []
+        self.at: list[float] = []
+        self.sides: list[tuple[int, int]] = []
+        self._grow(_unit(sample) @ self.turn, leaf_rows)
+
+    def _grow(self, rows: np.ndarray, leaf_rows: int) -> int:
+        """Number of the node over rows; leaves have axis -1."""
+        node = len(self.axis)
+        self.axis.append(-1)
+        self.at.append(0.0)
+        self.sides.append((-1, -1))
+        if len(rows) > leaf_rows:
+            axis = int(rows.var(axis=0).argmax())
+            at = float(np.median(rows[:, axis]))
+            left = rows[:, axis] < at
+            if left.any() and not left.all():
+                self.axis[node], self.at[node] = axis, at
+                self.sides[node] = (self._grow(rows[left], leaf_rows), self._grow(rows[~left], leaf_rows))
+        return node
+
+    def leaves(self, turned: np.ndarray) -> np.ndarray:
+        """Leaf of each rotated vector."""
+        out = np.zeros(len(turned), dtype=np.int64)
+        stack = [(0, np.arange(len(turned)))]
+        while stack:
+            node, rows = stack.pop()
+            if self.axis[node] < 0:
+                out[rows] = node
+            elif len(rows):
+                left = turned[rows, self.axis[node]] < self.at[node]
+                stack += [(self.sides[node][0], rows[left]), (self.sides[node][1], rows[~left])]
+        return out
 
 
-#: Each pair of neighbouring cells once: of a step and its opposite, the larger.
-_STEPS = [s for s in itertools.product((-1, 0, 1), repeat=GRID_AXES) if s >= (0,) * GRID_AXES]
+def near_boxes(low_a, high_a, low_b, high_b, threshold: float) -> np.ndarray:
+    """Blocks in which each pair of boxes is within the share, as bits; boxes are rows of bounds."""
+    width = low_a.shape[1]
+    out = np.zeros((len(low_a), len(low_b)), dtype=np.int64)
+    for i in range(len(low_a)):
+        gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b))
+        for k, ((a, b), budget) in enumerate(zip(_blocks(width), _budgets(width, threshold), strict=True)):
+            out[i] |= ((gap[:, a:b] ** 2).sum(axis=1) <= budget + COARSE).astype(np.int64) << k
+    return out
 
 
 def _star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -96,32 +146,39 @@ def _star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def _tile(ids_a, size_a, rows_a, ids_b, size_b, rows_b, block: int, threshold: float, same: bool):
-    """Links of one tile: ids, links of each, and the smallest linked id of its group here."""
+def _filters(turned: np.ndarray, block: tuple[int, int], budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of a block's test, for either side: their product is squared distance less budget."""
+    part = turned[:, block[0] : block[1]].astype(np.float32)
+    norm, one = (part * part).sum(axis=1, keepdims=True), np.ones((len(part), 1), dtype=np.float32)
+    return np.hstack([-2 * part, norm - np.float32(budget + COARSE), one]), np.hstack([part, one, norm])
+
+
+def visit(ids_a, size_a, rows_a, ids_b, size_b, rows_b, blocks: int, threshold: float, same: bool):
+    """Links between two chunks: ids, links of each, and the smallest linked id of its group here.
+
+    blocks: bits of the blocks to test. same: both chunks are one.
+    """
     width = rows_a.shape[1]
-    bounds, budgets, turn = _blocks(width), _budgets(width, threshold), rotation(width)
-    unit_a, unit_b = _unit(rows_a.astype(np.float64)), _unit(rows_b.astype(np.float64))
-    turned_a, turned_b = unit_a @ turn, unit_b @ turn
-    low, high = bounds[block]
-    part_a, part_b = turned_a[:, low:high].astype(np.float32), turned_b[:, low:high].astype(np.float32)
-    norm_a, norm_b = (part_a * part_a).sum(axis=1), (part_b * part_b).sum(axis=1)
+    turn = rotation(width)
+    turned_a, turned_b = _unit(rows_a.astype(np.float64)) @ turn, _unit(rows_b.astype(np.float64)) @ turn
+    tests = [
+        (_filters(turned_a, block, budget)[0], _filters(turned_b, block, budget)[1].T)
+        for k, (block, budget) in enumerate(zip(_blocks(width), _budgets(width, threshold), strict=True))
+        if blocks >> k & 1
+    ]
     found_a, found_b = [], []
-    step = max(1, (1 << 22) // max(1, len(part_b)))
-    for start in range(0, len(part_a), step):
-        near = norm_a[start : start + step, None] + norm_b - 2 * (part_a[start : start + step] @ part_b.T) <= budgets[block] + COARSE
+    step = max(1, SLICE_PAIRS // max(1, len(rows_b)))
+    for start in range(0, len(rows_a), step):
+        first = start + 1 if same else 0  # a chunk meets itself above the diagonal
+        near = np.zeros((min(step, len(rows_a) - start), len(rows_b) - first), dtype=bool)
+        for x, y in tests:
+            near |= x[start : start + step] @ y[:, first:] <= 0
         i, j = np.nonzero(near)
-        i += start
+        i, j = i + start, j + first
         if same:
             i, j = i[j > i], j[j > i]
         for cut in range(0, len(i), 1 << 16):
             p, q = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-            gap = turned_a[p] - turned_b[q]
-            gap *= gap
-            # the first block within its share owns the pair
-            owner = np.full(len(p), -1)
-            for k in range(len(bounds) - 1, -1, -1):
-                owner[gap[:, bounds[k][0] : bounds[k][1]].sum(axis=1) <= budgets[k] + FINE] = k
-            p, q = p[owner == block], q[owner == block]
             linked = _cosine(rows_a[p], rows_b[q]) >= threshold
             found_a.append(p[linked])
             found_b.append(q[linked])
@@ -147,95 +204,110 @@ def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
 
 
-def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Partial links of classes (id, size, v): (id, n, root), to be summed by id."""
+def layouts(classes: DataFrame) -> dict[int, Layout]:
+    """Leaves for the vectors of each length, from a sample by the hash of the id."""
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    sample = classes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE_ROWS).select("v").collect()
+    by_dim: dict[int, list] = {dim: [] for dim in sizes}
+    for r in sample:
+        by_dim[len(r["v"])].append(r["v"])
+    share = max(1, len(sample)) / max(1, sum(sizes.values()))
+    # leaves half as large as a chunk in the mean, so that few are above it
+    return {dim: Layout(np.array(rows or [[1.0] * dim]), max(1, int(share * CHUNK_ROWS * 3 / 4))) for dim, rows in by_dim.items()}
+
+
+def chunks(classes: DataFrame) -> DataFrame:
+    """Chunks of classes (id, size, v): name, dim, packed ids, sizes and vectors, and the bounds of their box."""
+    by_dim = layouts(classes)
+    kind = "<f4" if dict(classes.dtypes)["v"] == "array<float>" else "<f8"
 
     def place(batches):
         for batch in batches:
-            out = []
-            for width, group in batch.groupby("dim"):
-                turned = _unit(np.asarray(group["v"].tolist(), dtype=np.float64)) @ rotation(width)
-                for k, (block, budget) in enumerate(zip(_blocks(width), _budgets(width, threshold), strict=True)):
-                    cell = _cells(turned, block, budget)
-                    out.append(pd.DataFrame({"id": group["id"].to_numpy(), "dim": width, "block": k, "x": cell[:, 0], "y": cell[:, 1]}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["id", "dim", "block", "x", "y"])
-
-    classes = classes.withColumn("dim", F.size("v"))
-    cells = classes.select("id", "dim", "v").mapInPandas(place, "id long, dim int, block int, x long, y long")
-    cells, _ = durable(cells, "neighbour-cells")
-    counts = cells.groupBy("dim", "block", "x", "y").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
-    # Unit vectors reach a bounded number of cells, whatever their number.
-    chunks = {tuple(r)[:4]: r["chunks"] for r in counts.collect()}
-
-    def tiles(dim: int, block: int, x: int, y: int, chunk: int) -> list[str]:
-        """Names of all tiles that a chunk takes part in, with the side it takes."""
-        out = []
-        for dx, dy in _STEPS:
-            for c in range(chunks.get((dim, block, x + dx, y + dy), 0)):
-                if (dx, dy) != (0, 0):
-                    out.append(f"L {dim} {block} {x} {y} {chunk} {x + dx} {y + dy} {c}")
-                elif c >= chunk:
-                    out.append(f"L {dim} {block} {x} {y} {chunk} {x} {y} {c}")
-            for c in range(chunks.get((dim, block, x - dx, y - dy), 0)):
-                if (dx, dy) != (0, 0):
-                    out.append(f"R {dim} {block} {x - dx} {y - dy} {c} {x} {y} {chunk}")
-                elif c < chunk:
-                    out.append(f"R {dim} {block} {x} {y} {c} {x} {y} {chunk}")
-        return out
+            dims = batch["v"].map(len).to_numpy()
+            leaf = np.zeros(len(batch), dtype=np.int64)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                vectors_ = np.array(batch["v"].iloc[rows].tolist(), dtype=np.float64)
+                leaf[rows] = by_dim[dim].leaves(_unit(vectors_) @ by_dim[dim].turn)
+            yield batch.assign(dim=dims, leaf=leaf)
+
+    placed = classes.select("id", "size", "v").mapInPandas(place, f"id long, size long, v {dict(classes.dtypes)['v']}, dim int, leaf long")
+    placed, _ = durable(placed, "neighbour-leaves")
+    cut = placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("cuts"))
+    members = placed.join(cut, ["dim", "leaf"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        names = tiles(*(int(first[c]) for c in ("dim", "block", "x", "y", "chunk")))
-        packed = np.asarray(group["v"].tolist(), dtype="<f8").tobytes()
-        n = len(names)
-        return pd.DataFrame(
-            {
-                "tile": [x[2:] for x in names], "side": [x[0] for x in names], "dim": [int(first["dim"])] * n, "block": [int(first["block"])] * n,
-                "ids": [group["id"].to_numpy(dtype="<i8").tobytes()] * n, "sizes": [group["size"].to_numpy(dtype="<i8").tobytes()] * n, "v": [packed] * n,
-            }
-        )
+        dim, leaf, cut = (int(group[c].iloc[0]) for c in ("dim", "leaf", "cut"))
+        rows = np.array(group["v"].tolist(), dtype=kind)
+        turned = _unit(rows.astype(np.float64)) @ by_dim[dim].turn
+        out = {"chunk": f"{dim} {leaf} {cut}", "dim": dim, "ids": group["id"].to_numpy("<i8").tobytes(), "sizes": group["size"].to_numpy("<i8").tobytes()}
+        out |= {"v": rows.tobytes(), "low": turned.min(axis=0).tolist(), "high": turned.max(axis=0).tolist()}
+        return pd.DataFrame([out])
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        sides = {r.side: r for r in group.itertuples()}
-        a, b = sides.get("L"), sides.get("R")
-        b = b or a
-        of = lambda r: (vectors.ids(r.ids), vectors.ids(r.sizes), np.frombuffer(r.v, dtype="<f8").reshape(-1, r.dim))
-        found = _tile(*of(a), *of(b), int(a.block), threshold, b is a)
-        return pd.DataFrame(dict(zip(("id", "n", "root"), found, strict=True)))
-
-    by_cell = {k: int(n) for k, n in chunks.items()}
-    chunk_of = F.pmod(F.xxhash64("id"), _lookup(by_cell, ["dim", "block", "x", "y"]))
-    members = cells.join(classes.select("id", "size", "v"), "id").withColumn("chunk", chunk_of)
-    gathered = members.groupBy("dim", "block", "x", "y", "chunk").applyInPandas(
-        gather, "tile string, side string, dim int, block int, ids binary, sizes binary, v binary"
-    )
-    return gathered.groupBy("tile").applyInPandas(joined, "id long, n long, root long")
+    shape = "chunk string, dim int, ids binary, sizes binary, v binary, low array<double>, high array<double>"
+    return durable(members.groupBy("dim", "leaf", "cut").applyInPandas(gather, shape), "neighbour-chunks")[0]
 
 
-def _lookup(table: dict, keys: list[str]):
-    """Number of chunks of a cell; cells with one chunk are the default."""
-    many = [(k, n) for k, n in sorted(table.items()) if n > 1]
-    if not many:
-        return F.lit(1)
-    entries = [x for k, n in many for x in (F.lit(" ".join(map(str, k))), F.lit(n))]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), F.concat_ws(" ", *keys)), F.lit(1))
+def visits(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of chunks to visit: a, b (a <= b), and the blocks to test there.
+
+    The boxes are packed, and each pair of packs is compared in one task.
+    """
+    packs = max(1, math.ceil(found.count() / BOX_ROWS))
+    boxes = found.select("chunk", "dim", "low", "high", F.pmod(F.xxhash64("chunk"), F.lit(packs)).alias("pack"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("other")
+    paired = boxes.select("*", other).withColumn("p", F.least("pack", "other")).withColumn("q", F.greatest("pack", "other"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = group["p"].iloc[0], group["q"].iloc[0]
+        sides = [group[group["pack"] == x].sort_values("chunk") for x in (p, q)]
+        a, b = ((s["chunk"].to_numpy(), np.array(s["low"].tolist()), np.array(s["high"].tolist())) for s in sides)
+        if not len(a[0]) or not len(b[0]):
+            return pd.DataFrame({"a": [], "b": [], "blocks": []})
+        near = near_boxes(a[1], a[2], b[1], b[2], threshold)
+        i, j = np.nonzero(np.triu(near) if p == q else near)
+        x, y = a[0][i], b[0][j]
+        return pd.DataFrame({"a": np.where(x <= y, x, y), "b": np.where(x <= y, y, x), "blocks": near[i, j]})
+
+    return durable(paired.groupBy("dim", "p", "q").applyInPandas(compare, "a string, b string, blocks long"), "neighbour-visits")[0]
+
+
+def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Partial links of classes (id, size, v): (id, n, root), to be summed by id."""
+    found = chunks(classes)
+    pairs = visits(found, threshold)
+    sides = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"), "a", "b", "blocks")
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        held = {r.chunk: r for r in group.itertuples()}
+        a, b = held[group["a"].iloc[0]], held[group["b"].iloc[0]]
+        of = lambda r: (vectors.ids(r.ids), vectors.ids(r.sizes), np.frombuffer(r.v, dtype=kind).reshape(-1, r.dim))
+        out = visit(*of(a), *of(b), int(a.blocks), threshold, a is b)
+        return pd.DataFrame(dict(zip(("id", "n", "root"), out, strict=True)))
+
+    kind = "<f4" if dict(classes.dtypes)["v"] == "array<float>" else "<f8"
+    # a chunk's copies leave its row one by one; a task gets few pairs, and holds one at a time
+    copies = found.select("chunk", "dim", "ids", "sizes", "v").join(sides, "chunk")
+    tasks = min(MOST_TASKS, max(1, pairs.count()))
+    return copies.repartition(tasks, "a", "b").groupBy("a", "b").applyInPandas(joined, "id long, n long, root long")
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each input row: vec_id, n_links, component_id, kept."""
-    doubles = F.transform(F.col(vector), lambda x: x.cast("double"))
+    same = dict(rows.dtypes)[vector] == "array<float>"  # exact in double precision, and half as long
+    doubles = F.col(vector) if same else F.transform(F.col(vector), lambda x: x.cast("double"))
     usable = F.col("vec_id").isNotNull() & vectors.finite(F.col("v")) & F.exists("v", lambda x: x != 0)
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), doubles.alias("v"))
+    rows = bounded_batches(rows).select(F.col(vec_id).cast("long").alias("vec_id"), doubles.alias("v"))
     rows, _ = durable(rows.select("vec_id", F.when(usable, F.col("v")).alias("v")), "neighbour-rows")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"))
-    classes, _ = durable(classes, "neighbour-classes")
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    # numbered as they are written: different vectors may share an id
+    classes, _ = durable(classes.withColumn("id", F.monotonically_increasing_id()), "neighbour-classes")
     partial, _ = durable(links(classes, threshold), "neighbour-links")
     sums = partial.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(partial.where("id <> root").select("id", "root"), "id", "root")
-    labelled = (
-        classes.join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    )
+    grouped = classes.join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = grouped.join(smallest, "root").select("v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     alone = F.when(F.col("v").isNull(), F.col("vec_id"))
     found = rows.join(labelled, "v", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", alone).alias("component_id")

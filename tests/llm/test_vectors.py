@@ -25,37 +25,38 @@ def rows_of(n=240, dim=24, seed=3):
     return [*out, (7, out[7][1], 0), (7, out[7][1], 0), (None, out[5][1], 0)]
 
 
-@pytest.fixture(scope="module")
-def table(spark):
-    return spark.createDataFrame(rows_of(), SCHEMA)
-
-
 def usable(v):
     return v is not None and all(x is not None and math.isfinite(x) for x in v)
 
 
 def brute_top(rows, k=5):
     q = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and usable(v)]
-    asked = {}
-    for i, v in q:
-        if i % 50 == 0:
-            asked[i] = min(asked.get(i, v), v)
     out = []
-    for a, v in asked.items():
-        scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), b) for b, w in q if b != a and len(w) == len(v))
-        out += [(a, n + 1, b, -s) for n, (s, b) in enumerate(scores[:k])]
+    for n, (a, v) in enumerate(q):
+        if a % 50 == 0:
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), b) for m, (b, w) in enumerate(q) if m != n and len(w) == len(v))
+            out += [(a, rank + 1, b, -s) for rank, (s, b) in enumerate(scores[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "block", "fan"), [(8192, 1024, 32), (16, 3, 2)])
-def test_search(table, monkeypatch, shard, block, fan):
+#: Rows that share an id with a query: alike, of another vector, and many copies.
+SHARED = [(0, 0), (0, 5), (50, 50), (50, 50), (50, 50), (50, 51), (100, 7), (150, 150)] + [(9, 50)] * 7
+
+
+@pytest.mark.parametrize(("shard", "block", "fan", "scores"), [(8192, 1024, 32, 1 << 22), (16, 3, 2, 40)])
+def test_search(spark, monkeypatch, shard, block, fan, scores):
+    """Query rows that share an id are asked on their own, and may find each other."""
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk, "BLOCK_ROWS", block)
     monkeypatch.setattr(topk, "FAN_IN", fan)
-    base = table.where(vectors.finite(F.col("embedding"))).select("vec_id", quantised(F.col("embedding")).alias("q"))
+    monkeypatch.setattr(topk, "SLICE_SCORES", scores)
+    rows = rows_of()
+    rows += [(i, rows[j][1], 0) for i, j in SHARED]
+    base = spark.createDataFrame(rows, SCHEMA).where(vectors.finite(F.col("embedding")))
+    base = base.select("vec_id", quantised(F.col("embedding")).alias("q"), F.lit(1).alias("copies"), F.lit(2).alias("id"))
     got = search(base, base.where("vec_id % 50 = 0"), 5)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
-    assert sorted(map(tuple, got.collect())) == brute_top(rows_of())
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
 
 def test_search_of_nothing(spark):
@@ -100,12 +101,31 @@ def brute_links(rows, least=0.9):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("chunk", "dim"), [(4096, 16), (10, 8), (7, 5)])
-def test_links(table, monkeypatch, chunk, dim):
+@pytest.mark.parametrize(("chunk", "dim", "boxes"), [(4096, 16, 2048), (30, 5, 3)])
+def test_links(spark, monkeypatch, chunk, dim, boxes):
+    """Also of vectors that share an id, on one or many chunks."""
     monkeypatch.setattr(neighbours, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(neighbours, "BLOCK_DIM", dim)
-    got = near_duplicates(table)
-    assert sorted(map(tuple, got.collect()), key=repr) == brute_links(rows_of())
+    monkeypatch.setattr(neighbours, "BOX_ROWS", boxes)
+    rows = rows_of()
+    rows += [(i, rows[j][1], 0) for i, j in SHARED]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(1)).withColumn("v", F.lit(2)))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_links(rows)
+
+
+def test_boxes_lose_no_pair():
+    """Two vectors within the budget lie in boxes that are near in some block."""
+    rng = np.random.default_rng(1)
+    rows = rng.standard_normal((400, 24))
+    rows = neighbours._unit(np.vstack([rows, rows + 0.05 * rng.standard_normal(rows.shape)])) @ neighbours.rotation(24)
+    leaf = neighbours.Layout(rows @ neighbours.rotation(24).T, 20).leaves(rows)
+    names = np.unique(leaf)
+    low, high = (np.array([f(rows[leaf == x], axis=0) for x in names]) for f in (np.min, np.max))
+    near = neighbours.near_boxes(low, high, low, high, 0.9) > 0
+    i, j = np.nonzero(rows @ rows.T >= 0.9)
+    at = np.searchsorted(names, leaf)
+    assert len(names) > 30 and near[at[i], at[j]].all()
+    assert not (neighbours.near_boxes(low, high, low, high, 0.999) > 0).all()
 
 
 def test_links_of_nothing(spark):
