@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,6 +128,33 @@ def scratch(spark: SparkSession) -> Iterator[set[str]]:
         discard(spark, *(set(_MADE) - before - kept))
 
 
+#: Results and the tables made on the way to them, in order.
+_LEFT: list[tuple[weakref.ref, set[str]]] = []
+
+
+def step(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A step (spark, docs, ...) of a chain whose results are written before the next step reads them.
+
+    At its start a step deletes what earlier ones have left, unless docs still
+    reads it or the earlier result is still held.
+    """
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, *rest) -> DataFrame:
+        files = docs.inputFiles() if _LEFT else []
+        for entry in list(_LEFT):
+            ref, paths = entry
+            if ref() is None and not any(f"/{path.rsplit('/', 1)[1]}/" in f for path in paths for f in files):
+                discard(spark, *paths)
+                _LEFT.remove(entry)
+        before = set(_MADE)
+        out = function(spark, docs, *rest)
+        _LEFT.append((weakref.ref(out), set(_MADE) - before))
+        return out
+
+    return run
+
+
 @atexit.register
 def _discard_all() -> None:
     for path, spark in list(_MADE.items()):
