@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import mixing, pii
-from strandloom.llm.common import discard, durable, scratch, table
+from strandloom.llm.common import discard, durable, scratch, step, table
 from strandloom.llm.langid import identify_documents
 from strandloom.llm.queries.op06 import digests
 from strandloom.llm.simhash import representatives
@@ -19,6 +19,7 @@ from strandloom.llm.simhash import representatives
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@step
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; lang becomes the identified one, rejected documents go.
 
@@ -29,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "row.text", "lang", "row.source", "row.n_chars")
 
 
+@step
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
@@ -39,6 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return representatives(docs.select(*COLUMNS))
 
 
+@step
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each found span replaced by the name of its kind.
 
@@ -57,6 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     )
 
 
+@step
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each time a document is drawn.
 
@@ -66,6 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs.select(*COLUMNS))
 
 
+@step
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digest of the encoded and decoded documents; null texts count as empty ones."""
     return digests(docs)
