@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import alignment as al
-from strandloom.functions.tract import in_tract_orientation, mask_low_quality
+from strandloom.functions.tract import in_tract_orientation, mask_low_quality, run_lengths
 from strandloom.operators import extraction, flank_search, geometry, placement
+from strandloom.sources.flanks import NO_PAIR, NO_WINDOW, RECOVERED
 from strandloom.sources.panel import Panel
 from strandloom.sources.shared import settled as kept_once
 
@@ -60,13 +61,28 @@ def build_flanks(alignments: DataFrame, loci: DataFrame, sample: str) -> DataFra
     return geometry.side_table(known, found, sample)
 
 
+def _with_windows(alignments: DataFrame, loci: DataFrame, min_mapq: int) -> DataFrame:
+    """Loci that have flanks and a reference window in this sample, with the window and its G walks."""
+    usable = loci.where("up_flank IS NOT NULL AND dn_flank IS NOT NULL")
+    near = extraction.near_loci(alignments.withColumn("end0", al.reference_end(F.col("cigar"), F.col("pos0"))), usable, 0)
+    walks = geometry.reference_walks(geometry.reference_windows(near, min_mapq), usable.drop("ref_orientation"))
+    return usable.join(walks.select("locus_id", "window", "window_start", "walk_up", "walk_dn"), "locus_id")
+
+
 def extract(alignments: DataFrame, loci: DataFrame, min_mapq=extraction.MIN_MAPQ, drop_chimeric=True, max_tlen=extraction.MAX_TLEN, min_flanking_base_q=MIN_FLANKING_BASE_Q):
     """(panel, counters) of a sample.
 
     loci: locus_id, chrom, bed_start, bed_end, ref_orientation, up_flank,
-    dn_flank, and up_run_side, dn_run_side (reference positions or null).
+    dn_flank, up_run_side, dn_run_side (reference positions or null), and
+    reference_window_status. A locus without flanks, or whose window no read
+    gives back, stays in the panel with its status, without rows and counts.
     """
-    everything = kept_once(tested_reads(alignments, loci, min_mapq, drop_chimeric, max_tlen))
+    everywhere = loci
+    loci = kept_once(_with_windows(alignments, loci, min_mapq))
+    broken = geometry.geometry_violations(loci).select("locus_id").limit(10).collect()
+    if broken:
+        raise ValueError(f"flanks outside the reference window or crossing: {sorted(r['locus_id'] for r in broken)}")
+    everything = kept_once(tested_reads(alignments, loci.drop("window", "window_start", "walk_up", "walk_dn"), min_mapq, drop_chimeric, max_tlen))
     tested = everything.where("drop_reason IS NULL")
     lo, hi = geometry.flanked_interval(F.col("ref_orientation"), F.col("up_run_side"), F.col("dn_run_side"))
     masked = mask_low_quality(F.col("raw"), F.col("qual"), min_flanking_base_q)
@@ -103,13 +119,23 @@ def extract(alignments: DataFrame, loci: DataFrame, min_mapq=extraction.MIN_MAPQ
     widths = rows.groupBy("locus_id").agg(
         F.max(F.instr("flanking_seq", "|") - 1).cast("long").alias("up_width"), F.max(F.length("flanking_seq") - F.instr("flanking_seq", "|")).cast("long").alias("dn_width")
     )
-    shaped = loci.join(widths, "locus_id", "left").fillna(0, ["up_width", "dn_width"])
     starts = geometry.start_coordinates(F.col("ref_orientation"), lo, hi, F.col("up_width"), F.col("up_run_side").isNotNull(), F.col("dn_run_side").isNotNull())
-    panel_loci = shaped.select("locus_id", "ref_orientation", "up_width", "dn_width", starts[0].alias("up_start"), starts[1].alias("dn_start"))
+    tract = geometry.reference_tract(F.col("window"), F.col("window_start"), F.col("ref_orientation"), F.col("up_run_side"), F.col("dn_run_side"))
+    shaped = loci.join(widths, "locus_id", "left").fillna(0, ["up_width", "dn_width"]).select(
+        "locus_id", "ref_orientation", "up_width", "dn_width", starts[0].alias("up_start"), starts[1].alias("dn_start"), tract.alias("reference_tract"), "walk_up", "walk_dn"
+    )
+    # loci without geometry keep what is known of them
+    status = F.when(F.col("reference_window_status").isin(NO_WINDOW, NO_PAIR), F.col("reference_window_status")).when(F.col("up_width").isNull(), NO_WINDOW)
+    panel_loci = everywhere.drop("ref_orientation").join(shaped, "locus_id", "left").select(
+        "locus_id", "ref_orientation", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("up_width", "dn_width")],
+        *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("up_start", "dn_start")], F.coalesce(status, F.lit(RECOVERED)).alias("reference_window_status"),
+        "chrom", "bed_start", "bed_end", "up_flank", "dn_flank", F.coalesce("reference_tract", F.lit("")).alias("reference_tract"),
+        F.coalesce(F.array_join(F.transform(run_lengths(F.col("reference_tract")), lambda n: n.cast("string")), ","), F.lit("")).alias("reference_run_lengths"), "walk_up", "walk_dn",
+    )
 
     pairs = settled.groupBy("locus_id").agg(
         F.count("*").alias("n_read_pairs"), F.count_if(F.col("differ") & F.col("tract").isNull()).alias("n_read_pairs_drop_disagree"),
         F.count_if(F.col("differ") & F.col("tract").isNotNull()).alias("n_read_pairs_merged"), F.count("tract").alias("n_reads"),
     )
-    counters = extraction.filter_counters(everything, loci).join(placement.drop_counters(placed, "locus_id"), "locus_id", "left").join(pairs, "locus_id", "left").fillna(0)
+    counters = extraction.filter_counters(everything, everywhere).join(placement.drop_counters(placed, "locus_id"), "locus_id", "left").join(pairs, "locus_id", "left").fillna(0)
     return Panel(rows, panel_loci), counters

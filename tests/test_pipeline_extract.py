@@ -7,7 +7,7 @@ from strandloom.operators import geometry, pipeline
 from strandloom.sources.alignments import SCHEMA
 
 UP, DN = "ACGTACGTAC", "TGCATGCATG"
-LOCI = "locus_id string, chrom string, bed_start long, bed_end long, ref_orientation string, up_flank string, dn_flank string, up_run_side long, dn_run_side long"
+LOCI = "locus_id string, chrom string, bed_start long, bed_end long, ref_orientation string, up_flank string, dn_flank string, up_run_side long, dn_run_side long, reference_window_status string"
 REF_TRACT = "GGGGGGGAGGGGGG"
 
 
@@ -22,7 +22,11 @@ def alignments(spark, rows):
 
 @pytest.fixture(scope="module")
 def loci(spark):
-    return spark.createDataFrame([("L", "chr1", 60, 74, "+", UP, DN, 59, 74), ("E", "chr2", 60, 74, "+", UP, DN, 59, 74)], LOCI)
+    return spark.createDataFrame([("L", "chr1", 60, 74, "+", UP, DN, 59, 74, "recovered"), ("E", "chr2", 60, 74, "+", UP, DN, 59, 74, "recovered")], LOCI)
+
+
+#: The read that gives locus L its reference window; it has no molecule.
+WHOLE = ("chr1", 0, "whole", 0, 0, 60, "150M", 0, "A" * 50 + UP[:10] + "GGGGGGGAGGGGGG" + DN + "A" * 66, [40] * 150, "150", None, None)
 
 
 def test_extract(spark, loci):
@@ -34,7 +38,7 @@ def test_extract(spark, loci):
         read("q", mi="m/A", mapq=10), read("s", mi="m/A", sa="x"), read("t", mi="m/A", tlen=2000), read("n", mi=None), read("sup", flag=2048), read("sec", flag=256),
         read("bad", mi="m3"), read("none", up="A" * 10), read("neither", up="A" * 10, dn="A" * 10), read("neg", "G" + "A" * 12 + "G", mi="m/A"),
         read("pair", REF_TRACT, mi="m4/A", qual=low), read("pair", other, mi="m4/A"), read("tie", REF_TRACT, mi="m5/A"), read("tie", other, mi="m5/A"),
-        read("two", mi="m6/A"), read("two", mi="m7/A"),
+        read("two", mi="m6/A"), read("two", mi="m7/A"), WHOLE,
     ]
     panel, counters = pipeline.extract(alignments(spark, rows), loci)
     got = {(r["mi"], r["strand"], r["seq"]): (r["cnt"], r["flanking_seq"]) for r in panel.rows.collect()}
@@ -44,17 +48,24 @@ def test_extract(spark, loci):
     c = {r["locus_id"]: r.asDict() for r in counters.collect()}
     assert all(v == 0 for k, v in c["E"].items() if k != "locus_id")
     x = c["L"]
-    assert (x["n_overlap"], x["n_drop_mapq"], x["n_drop_sa"], x["n_drop_tlen"], x["n_drop_no_mi"]) == (18, 1, 1, 1, 1)
+    assert (x["n_overlap"], x["n_drop_mapq"], x["n_drop_sa"], x["n_drop_tlen"], x["n_drop_no_mi"]) == (19, 1, 1, 1, 2)
     assert (x["n_drop_upstream"], x["n_drop_downstream"], x["n_drop_negative_value"]) == (2, 1, 1)
     assert x["n_overlap"] == x["n_drop_mapq"] + x["n_drop_sa"] + x["n_drop_tlen"] + x["n_drop_no_mi"] + x["n_placed"] + x["n_drop_flank"] - x["n_drop_negative_value"]
     assert x["n_read_pairs"] == 6 and x["n_reads"] == x["n_read_pairs"] - x["n_read_pairs_drop_disagree"]
     assert x["n_read_pairs_merged"] + x["n_read_pairs_drop_disagree"] == 2
     g = {r["locus_id"]: r for r in panel.loci.collect()}
     assert (g["L"]["up_width"], g["L"]["dn_width"], g["L"]["up_start"], g["L"]["dn_start"]) == (20, 20, 40, 74) and g["E"]["up_width"] == 0
+    assert (g["L"]["reference_window_status"], g["L"]["reference_tract"], g["E"]["reference_window_status"]) == ("recovered", REF_TRACT, "ref_window_unrecoverable")
+
+
+def test_broken_flank_table(spark):
+    crossing = spark.createDataFrame([("L", "chr1", 60, 74, "+", UP, DN, 75, 59, "recovered")], LOCI)
+    with pytest.raises(ValueError, match="'L'"):
+        pipeline.extract(alignments(spark, [read("a"), WHOLE]), crossing)
 
 
 def test_flanking_mate(spark, loci):
-    rows = [read("a", mi="m/A"), ("chr1", 0, "a", 0, 120, 60, "4M", 0, "CATG", [40, 5, 40, 40], None, None, None), ("chr1", 0, "z", 0, 120, 60, "4M", 0, "CATG", [40] * 4, None, None, None)]
+    rows = [read("a", mi="m/A"), ("chr1", 0, "a", 0, 120, 60, "4M", 0, "CATG", [40, 5, 40, 40], None, None, None), ("chr1", 0, "z", 0, 120, 60, "4M", 0, "CATG", [40] * 4, None, None, None), WHOLE]
     panel, _ = pipeline.extract(alignments(spark, rows), loci)
     r = panel.rows.first()
     assert panel.rows.count() == 1 and r["flanking_seq"].split("|")[1] == DN + "A" * 10 + "." * 26 + "C.TG"
