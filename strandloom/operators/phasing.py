@@ -19,12 +19,9 @@ VOTE_MARGIN = 0
 def cells(rows: DataFrame, *keys: str) -> DataFrame:
     """One row for each key, flanking offset and character; the separator makes no cell.
 
-    Rows that differ in what is not asked for are added up before the strings
-    are exploded. By molecule they hardly repeat, and are exploded as they are.
+    Rows that differ in what is not asked for are added up before the strings are exploded.
     """
-    summed = rows
-    if "mi" not in keys:
-        summed = rows.groupBy("locus_id", *keys, "flanking_seq").agg(F.sum("cnt").alias("cnt"))
+    summed = rows.groupBy("locus_id", *keys, "flanking_seq").agg(F.sum("cnt").alias("cnt"))
     out = summed.select("locus_id", *keys, "cnt", F.posexplode(F.split("flanking_seq", "")).alias("offset", "base"))
     return out.where("base <> '|'")
 
@@ -35,26 +32,50 @@ def position_frequencies(rows: DataFrame) -> DataFrame:
     return cells(rows).groupBy("locus_id", "offset").agg(*sums)
 
 
-def family_bases(rows: DataFrame, at: DataFrame | None = None) -> DataFrame:
-    """Base of each molecule at each offset: the one with most reads, none on a tie.
+#: SQL of a molecule's base at position i of its strings m: the one with most reads, '.' on a tie and without any.
+_CALL = """transform(array(array_distinct(filter(transform(m, x -> x.c[i]), b -> b IN ('A', 'C', 'G', 'T')))), d -> CASE size(d) WHEN 0 THEN '.' WHEN 1 THEN d[0] ELSE
+  transform(array(transform(d, b -> aggregate(m, 0L, (n, x) -> n + if(x.c[i] = b, x.cnt, 0L)))),
+    w -> if(size(filter(w, v -> v = array_max(w))) = 1, d[cast(array_position(w, array_max(w)) as int) - 1], '.'))[0] END)[0]"""
+
 
-    at: (locus_id, offset) to keep, applied before anything is shuffled. The
-    four sums of a molecule and offset are one fixed-size aggregation buffer.
+def molecule_calls(rows: DataFrame) -> DataFrame:
+    """Consensus string of each molecule: locus_id, mi, calls, with '.' where it calls no base.
+
+    A molecule's rows are the versions of one fragment, so they are folded where
+    one shuffle by molecule brings them together, and no cell is ever shuffled.
     """
-    seen = cells(rows, "mi").where(F.col("base").isin(*BASES))
-    if at is not None:
-        seen = seen.join(at.select("locus_id", "offset"), ["locus_id", "offset"], "left_semi")
-    sums = seen.groupBy("locus_id", "mi", "offset").agg(*[F.sum(F.when(F.col("base") == b, F.col("cnt")).otherwise(0)).alias(b) for b in BASES])
-    most = F.greatest(*BASES)
-    ties = sum((F.when(F.col(b) == most, 1).otherwise(0) for b in BASES[1:]), F.when(F.col("A") == most, 1).otherwise(0))
-    call = F.coalesce(*[F.when(F.col(b) == most, F.lit(b)) for b in BASES])
-    return sums.where((most > 0) & (ties == 1)).select("locus_id", "mi", "offset", call.alias("base"))
+    entry = F.struct(F.split("flanking_seq", "").alias("c"), F.col("cnt").cast("long").alias("cnt"))
+    held = rows.groupBy("locus_id", "mi").agg(F.collect_list(entry).alias("m"))
+    alone = F.array_join(F.transform(F.col("m")[0]["c"], lambda b: F.when(b.isin(*BASES), b).otherwise(".")), "")
+    folded = F.expr(f"array_join(transform(sequence(0, size(m[0].c) - 1), i -> {_CALL}), '')")
+    return held.select("locus_id", "mi", F.when(F.size("m") == 1, alone).otherwise(folded).alias("calls"))
+
 
+def call_patterns(rows: DataFrame) -> DataFrame:
+    """How many molecules have each consensus string: locus_id, calls, n."""
+    return molecule_calls(rows).groupBy("locus_id", "calls").agg(F.count("*").alias("n"))
 
-def family_counts(rows: DataFrame, at: DataFrame | None = None) -> DataFrame:
-    """Molecules that call A, C, G and T at each offset."""
-    counts = [F.count_if(F.col("base") == b).alias(f"fam_{b}") for b in BASES]
-    return family_bases(rows, at).groupBy("locus_id", "offset").agg(*counts)
+
+def _called(strings: DataFrame, at: DataFrame | None) -> DataFrame:
+    """strings with one row for each offset, or for each in at (locus_id, offset), that has a base."""
+    if at is None:
+        found = strings.select("*", F.posexplode(F.split("calls", "")).alias("offset", "base"))
+    else:
+        offsets = at.groupBy("locus_id").agg(F.collect_set(F.col("offset").cast("int")).alias("at"))
+        found = strings.join(offsets, "locus_id").withColumn("offset", F.explode("at")).drop("at")
+        found = found.withColumn("base", base_at(F.col("calls"), F.col("offset")))
+    return found.where(F.col("base").isin(*BASES)).drop("calls")
+
+
+def family_bases(rows: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """Base of each molecule at each offset: the one with most reads, none on a tie. at: (locus_id, offset) to keep."""
+    return _called(molecule_calls(rows), at)
+
+
+def family_counts(patterns: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """Molecules that call A, C, G and T at each offset, from their call patterns."""
+    counts = [F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(f"fam_{b}") for b in BASES]
+    return _called(patterns, at).groupBy("locus_id", "offset").agg(*counts)
 
 
 def strand_base_counts(rows: DataFrame) -> DataFrame:
@@ -64,7 +85,7 @@ def strand_base_counts(rows: DataFrame) -> DataFrame:
         for s in ("A", "B") for b, name in zip([*BASES, "N", "."], [*BASES, "N", "pad"], strict=True)
     ]
     reads = cells(rows, "strand").groupBy("locus_id", "offset").agg(*by_strand)
-    return reads.join(family_counts(rows), ["locus_id", "offset"], "left").fillna(0)
+    return reads.join(family_counts(call_patterns(rows)), ["locus_id", "offset"], "left").fillna(0)
 
 
 def _located(found: DataFrame, loci: DataFrame) -> DataFrame:
@@ -76,11 +97,15 @@ def _located(found: DataFrame, loci: DataFrame) -> DataFrame:
     return out.withColumn("ref_pos", ref_pos_at_offset(F.col("ref_orientation"), start, F.col("string_index"))).drop(*[c for c in loci.columns if c != "locus_id"])
 
 
-def informative_snvs(panel: Panel, min_coverage: int = MIN_COVERAGE, vaf_min: float = VAF_MIN) -> DataFrame:
-    """Offsets where the second base has enough molecules; of equal bases the later one ranks first."""
+def informative_snvs(panel: Panel, min_coverage: int = MIN_COVERAGE, vaf_min: float = VAF_MIN, patterns: DataFrame | None = None) -> DataFrame:
+    """Offsets where the second base has enough molecules; of equal bases the later one ranks first.
+
+    patterns: the panel's call patterns, where they are at hand.
+    """
     ranked = F.reverse(F.array_sort(F.array(*[F.struct(F.col(f"fam_{b}").alias("n"), F.lit(b).alias("base")) for b in BASES])))
     coverage = sum((F.col(f"fam_{b}") for b in BASES[1:]), F.col("fam_A"))
-    top = family_counts(panel.rows).select("locus_id", "offset", ranked.alias("r"), coverage.alias("coverage"))
+    counts = family_counts(call_patterns(panel.rows) if patterns is None else patterns)
+    top = counts.select("locus_id", "offset", ranked.alias("r"), coverage.alias("coverage"))
     major, minor = F.col("r")[0], F.col("r")[1]
     vaf = minor["n"].cast("double") / F.col("coverage")
     found = top.where((F.col("coverage") >= min_coverage) & (minor["n"] > 0) & (vaf >= vaf_min)).select(
@@ -95,27 +120,33 @@ def anchored(snvs: DataFrame) -> DataFrame:
     return snvs.withColumn("is_anchor", F.row_number().over(first) == 1)
 
 
-def linkage(panel: Panel, snvs: DataFrame) -> DataFrame:
+def linkage(panel: Panel, snvs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Molecules that carry the anchor's and a variant's alleles, by combination.
 
-    The anchor's allele of a molecule reaches its other variants by a window over
-    the molecule, so no pair of molecules or of positions is ever joined.
+    Both alleles are characters of a call pattern, so each pattern is read once
+    with its number of molecules, and no pair of molecules or positions is joined.
     """
-    marked = anchored(snvs).select("locus_id", "offset", "allele_major", "allele_minor", "is_anchor")
-    called = family_bases(panel.rows, marked).join(marked, ["locus_id", "offset"])
-    allele = F.when(F.col("base") == F.col("allele_major"), "M").when(F.col("base") == F.col("allele_minor"), "m")
-    called = called.withColumn("allele", allele).where("allele is not null")
-    molecule = W.partitionBy("locus_id", "mi")
-    paired = called.withColumn("anchor_allele", F.max(F.when(F.col("is_anchor"), F.col("allele"))).over(molecule)).where("NOT is_anchor")
+    entry = F.struct(F.col("offset").cast("int").alias("offset"), "allele_major", "allele_minor")
+    marked = anchored(snvs).groupBy("locus_id").agg(
+        F.max(F.when(F.col("is_anchor"), entry)).alias("anchor"), F.collect_list(F.when(~F.col("is_anchor"), entry)).alias("others")
+    )
+
+    def allele(s: Column) -> Column:
+        base = base_at(F.col("calls"), s["offset"])
+        return F.when(base == s["allele_major"], "M").when(base == s["allele_minor"], "m")
+
+    read = (call_patterns(panel.rows) if patterns is None else patterns).join(marked, "locus_id").withColumn("first", allele(F.col("anchor")))
+    read = read.where("first is not null").select("locus_id", "calls", "n", "first", F.explode("others").alias("s"))
+    read = read.select("locus_id", F.col("s.offset").alias("offset"), "n", "first", allele(F.col("s")).alias("second"))
     combos = {"both_major": ("M", "M"), "both_minor": ("m", "m"), "major_minor": ("M", "m"), "minor_major": ("m", "M")}
-    counts = [F.count_if((F.col("anchor_allele") == a) & (F.col("allele") == b)).alias(n) for n, (a, b) in combos.items()]
-    pairs = paired.groupBy("locus_id", "offset").agg(*counts)
+    counts = [F.sum(F.when((F.col("first") == a) & (F.col("second") == b), F.col("n")).otherwise(0)).alias(name) for name, (a, b) in combos.items()]
+    pairs = read.groupBy("locus_id", "offset").agg(*counts)
     return anchored(snvs).where("NOT is_anchor").select("locus_id", "offset").join(pairs, ["locus_id", "offset"], "left").fillna(0)
 
 
-def haplotypes(panel: Panel, snvs: DataFrame, min_linkage_families: int = MIN_LINKAGE_FAMILIES) -> DataFrame:
+def haplotypes(panel: Panel, snvs: DataFrame, min_linkage_families: int = MIN_LINKAGE_FAMILIES, patterns: DataFrame | None = None) -> DataFrame:
     """Variants with status, phase and linkage; a tie of phases is in phase."""
-    joined = anchored(snvs).join(linkage(panel, snvs), ["locus_id", "offset"], "left")
+    joined = anchored(snvs).join(linkage(panel, snvs, patterns), ["locus_id", "offset"], "left")
     same, other = F.col("both_major") + F.col("both_minor"), F.col("major_minor") + F.col("minor_major")
     total = same + other
     anchor = F.col("is_anchor")

@@ -28,10 +28,11 @@ class Phased:
 
 def phase(panel: Panel, min_coverage=phasing.MIN_COVERAGE, vaf_min=phasing.VAF_MIN, min_linkage_families=phasing.MIN_LINKAGE_FAMILIES,
           min_informative_positions=phasing.MIN_INFORMATIVE, vote_margin=phasing.VOTE_MARGIN) -> Phased:
-    # a few rows a locus; both are referred to by everything that follows
-    found = settled(phasing.informative_snvs(panel, min_coverage, vaf_min))
-    snvs = settled(phasing.haplotypes(panel, found, min_linkage_families))
-    return Phased(snvs, phasing.assign(panel, snvs, min_informative_positions, vote_margin))
+    # variants are few and patterns fewer than molecules; all tables that follow read the labelled rows
+    called = settled(phasing.call_patterns(panel.rows))
+    found = settled(phasing.informative_snvs(panel, min_coverage, vaf_min, called))
+    snvs = settled(phasing.haplotypes(panel, found, min_linkage_families, called))
+    return Phased(snvs, settled(phasing.assign(panel, snvs, min_informative_positions, vote_margin)))
 
 
 def haplotype_calls(phased: Phased, majority: DataFrame | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def _reads_by_label(rows: DataFrame) -> list:
 def locus_summary(panel: Panel, phased: Phased, min_pattern_freq: float = patterns.MIN_PATTERN_FREQ) -> DataFrame:
     rows = phased.rows
     totals = rows.groupBy("locus_id").agg(F.count("*").alias("n_rows"), *_reads_by_label(rows))
-    majority = patterns.majority_patterns(panel.rows)
+    majority = settled(patterns.majority_patterns(rows))
     families = majority.groupBy("locus_id").agg(F.count("*").alias("n_rfs"))
     snvs = phased.snvs
     is_phased = F.col("status") == "phased"
@@ -100,8 +101,8 @@ def phase_by_reference(target: Panel, reference_snvs: DataFrame, min_informative
     """
     usable = remap(reference_snvs, target.loci)
     profile = usable.withColumn("offset", F.col("target_offset"))
-    rows = phasing.labelled(phasing.row_votes(target.rows, phasing.profiles(profile)), min_informative_positions, vote_margin)
-    counts = phasing.family_counts(target.rows, profile)
+    rows = settled(phasing.labelled(phasing.row_votes(target.rows, phasing.profiles(profile)), min_informative_positions, vote_margin))
+    counts = phasing.family_counts(phasing.call_patterns(target.rows), profile)
     joined = profile.drop("coverage", "vaf_minor", "segment", "string_index").join(counts, ["locus_id", "offset"], "left").fillna(0, [f"fam_{b}" for b in phasing.BASES])
     joined = joined.join(target.loci.select("locus_id", "up_width"), "locus_id")
     coverage = sum((F.col(f"fam_{b}") for b in phasing.BASES[1:]), F.col("fam_A"))

@@ -12,7 +12,7 @@ from strandloom.sources.panel import Panel
 
 TRACT_ROWS = 200
 PILEUP_ROWS = 150
-NEAR = 3
+NEAR, MOST_NEAR = 3, 50
 
 
 def _top(rows: DataFrame, keys: list[str], by: list[str], n: int) -> DataFrame:
@@ -51,13 +51,15 @@ def largest_run_shares(rows: DataFrame) -> DataFrame:
 
 
 def shown_offsets(panel: Panel, snvs: DataFrame, near: int = NEAR) -> DataFrame:
-    """Offsets of the pile-up columns: the nearest on each side and those of the variants."""
+    """Offsets of the pile-up columns: the nearest on each side, 0 to MOST_NEAR, and those of the variants."""
+    near = min(max(near, 0), MOST_NEAR)
+    steps = F.array(*map(F.lit, range(1, near + 1))).cast("array<int>")
     close = panel.loci.select(
         "locus_id",
         F.explode(
             F.concat(
-                F.filter(F.sequence(F.col("up_width") - near, F.col("up_width") - 1), lambda i: i >= 0),
-                F.filter(F.sequence(F.col("up_width") + 1, F.col("up_width") + near), lambda i: i <= F.col("up_width") + F.col("dn_width")),
+                F.filter(F.transform(steps, lambda i: F.col("up_width") - i), lambda i: i >= 0),
+                F.filter(F.transform(steps, lambda i: F.col("up_width") + i), lambda i: i <= F.col("up_width") + F.col("dn_width")),
             )
         ).alias("offset"),
     ).withColumn("offset", F.col("offset").cast("int"))
@@ -100,10 +102,13 @@ def panel_overview(panel: Panel, snvs: DataFrame) -> DataFrame:
     return reads.join(status, "locus_id", "left").fillna(0, ["phased", "dropped"])
 
 
-def locus_list(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Loci of two overviews; a panel without the locus has nulls."""
-    renamed = [df.select("locus_id", *[F.col(c).alias(f"{c}_{i}") for c in df.columns if c != "locus_id"]) for i, df in enumerate((first, second), 1)]
-    return renamed[0].join(renamed[1], "locus_id", "full")
+def locus_list(*overviews: DataFrame) -> DataFrame:
+    """Loci of any number of overviews, whose columns are numbered from 1; a panel without the locus has nulls."""
+    out = None
+    for i, df in enumerate(overviews, 1):
+        renamed = df.select("locus_id", *[F.col(c).alias(f"{c}_{i}") for c in df.columns if c != "locus_id"])
+        out = renamed if out is None else out.join(renamed, "locus_id", "full")
+    return out
 
 
 def differing_rows(a: DataFrame, b: DataFrame) -> DataFrame:

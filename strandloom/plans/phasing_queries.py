@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import tract as fn
 from strandloom.operators import patterns, phasing, tables, viewer
 from strandloom.sources import panel as source
+from strandloom.sources.shared import settled
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,13 +103,18 @@ _PAIR = (
 )
 
 
+def _settled(panel: source.Panel) -> source.Panel:
+    """A panel as it is read from where it is saved: deduplicated once."""
+    return source.Panel(settled(panel.rows), panel.loci)
+
+
 def _phase(spark: SparkSession, sf_dir: str):
-    panel = source.derived_panel(spark, sf_dir)
+    panel = _settled(source.derived_panel(spark, sf_dir))
     return panel, tables.phase(panel)
 
 
 def _target(spark: SparkSession, sf_dir: str):
-    reference, target = source.derived_pair(spark, sf_dir)
+    reference, target = map(_settled, source.derived_pair(spark, sf_dir))
     return target, tables.phase_by_reference(target, tables.phase(reference).snvs)
 
 
@@ -191,7 +197,7 @@ def strand_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ONE + f' SELECT locus_id, CAST(off AS INTEGER) AS "offset", {_FAMILIES} FROM fcnt GROUP BY locus_id, off')
 def family_consensus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return phasing.family_counts(source.derived_panel(spark, sf_dir).rows)
+    return phasing.family_counts(phasing.call_patterns(source.derived_panel(spark, sf_dir).rows))
 
 
 # ---- phasing -----------------------------------------------------------------------------------
@@ -199,7 +205,7 @@ def family_consensus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PHASE + ' SELECT f.locus_id, f.mi, CAST(f.off AS INTEGER) AS "offset", f.b AS base FROM fam f JOIN snv s ON f.locus_id = s.locus_id AND f.off = s.off')
 def family_bases_at_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = source.derived_panel(spark, sf_dir)
+    panel = _settled(source.derived_panel(spark, sf_dir))
     return phasing.family_bases(panel.rows, phasing.informative_snvs(panel))
 
 
@@ -211,7 +217,7 @@ def informative_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_PHASE + ' SELECT a.locus_id, CAST(a.off AS INTEGER) AS "offset", coalesce(both_major, 0) AS both_major, coalesce(both_minor, 0) AS both_minor, coalesce(major_minor, 0) AS major_minor, coalesce(minor_major, 0) AS minor_major FROM anc a LEFT JOIN pair p ON a.locus_id = p.locus_id AND a.off = p.off WHERE NOT a.is_anchor')
 def snv_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = source.derived_panel(spark, sf_dir)
+    panel = _settled(source.derived_panel(spark, sf_dir))
     return phasing.linkage(panel, phasing.informative_snvs(panel))
 
 
