@@ -5,6 +5,13 @@ pair is the weighted sum over reads of its best placement value, where positive.
 Candidates meet the reads by equality of short keys, never by a product: a
 window within one substitution of a candidate shares one of its halves, and a gap
 becomes an equality once the surplus bases are left out on the longer side.
+
+Not every pair is scored. In a read, a match can't be worth more than the best
+tract from its edge to any facing one, less its cost; summed over reads that
+bounds what any pair with this candidate can reach. The exact objective of the
+pair of the two highest bounds is a floor, and only candidates whose bound
+reaches it are paired. A pair as good as the best has both bounds above the
+floor, so neither the best pair nor a tie is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strandloom.operators.placement import FLANK, GAP_OPEN, ROOM, SUBSTITUTION, _differences, _window, tract_score, upstream_edges, without
+from strandloom.sources.shared import settled
 
 
 def _turned(reads: DataFrame) -> DataFrame:
@@ -73,35 +81,89 @@ def _matches(reads: DataFrame, flanks: DataFrame) -> DataFrame:
     return joined.select("s.locus_id", "s.read", F.col("s.end").alias("pos"), "m.flank", "m.cost")
 
 
-def objectives(reads: DataFrame) -> DataFrame:
-    """Objective of every candidate pair with a positive one: locus_id, up_flank, dn_flank, objective."""
+def _distinct(reads: DataFrame) -> DataFrame:
     keys = ["locus_id", "seq", "marks"]
-    distinct = reads.groupBy(*keys).agg(F.sum("weight").alias("weight")).withColumn("read", F.sha2(F.to_json(F.struct(*keys)), 256))
+    return reads.groupBy(*keys).agg(F.sum("weight").alias("weight")).withColumn("read", F.sha2(F.to_json(F.struct(*keys)), 256))
+
+
+def _marked(a, b) -> Column:
+    return F.exists("marks", lambda m: F.greatest(m["lo"], a + 1) < F.least(m["hi"], b))
+
+
+def side_matches(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct reads, upstream matches, downstream matches) of all candidates.
+
+    A match has its read, flank, edge, cost and gain: what a read can gain by it at most.
+    """
+    distinct = _distinct(reads)
+    shapes = distinct.select("locus_id", "read", "seq", "marks", "weight")
     ups = _matches(distinct, candidates(reads)).select("locus_id", "read", F.col("flank").alias("up_flank"), F.col("pos").alias("a"), F.col("cost").alias("up_cost"))
     turned = candidates(reads, downstream=True).withColumn("flank", F.reverse("flank"))
     backward = _matches(distinct.withColumn("seq", F.reverse("seq")), turned)
-    size = distinct.select("locus_id", "read", F.length("seq").alias("n"))
-    dns = backward.join(size, ["locus_id", "read"]).select(
-        "locus_id", "read", F.reverse("flank").alias("dn_flank"), (F.col("n") - 1 - F.col("pos")).alias("b"), F.col("cost").alias("dn_cost")
+    n = F.length("seq")
+    gain = lambda edges, score, cost: F.coalesce(F.array_max(F.transform(edges, score)), F.lit(0)) - cost
+    facing = F.transform(upstream_edges(F.reverse("seq")), lambda i: n - 1 - i)
+    after = F.filter(facing, lambda b: (b > F.col("a")) & _marked(F.col("a"), b))
+    ups = ups.join(shapes, ["locus_id", "read"]).withColumn("gain", gain(after, lambda b: tract_score(F.col("seq"), F.col("a"), b), F.col("up_cost")))
+    dns = backward.join(shapes, ["locus_id", "read"]).select(
+        *shapes.columns, F.reverse("flank").alias("dn_flank"), (n - 1 - F.col("pos")).alias("b"), F.col("cost").alias("dn_cost")
     )
-    pairs = ups.join(dns, ["locus_id", "read"]).where("a < b").join(distinct, ["locus_id", "read"])
+    before = F.filter(upstream_edges(F.col("seq")), lambda a: (a < F.col("b")) & _marked(a, F.col("b")))
+    dns = dns.withColumn("gain", gain(before, lambda a: tract_score(F.col("seq"), a, F.col("b")), F.col("dn_cost")))
+    keep = ["locus_id", "read", "weight", "gain"]
+    return distinct, ups.where("gain > 0").select(*keep, "up_flank", "a", "up_cost"), dns.where("gain > 0").select(*keep, "dn_flank", "b", "dn_cost")
+
+
+def scored(distinct: DataFrame, ups: DataFrame, dns: DataFrame) -> DataFrame:
+    """Objective of every pair of the matches' flanks with a positive one."""
+    pairs = ups.drop("weight", "gain").join(dns.drop("weight", "gain"), ["locus_id", "read"]).where("a < b").join(distinct, ["locus_id", "read"])
     a, b = F.col("a"), F.col("b")
-    marked = F.exists("marks", lambda m: F.greatest(m["lo"], a + 1) < F.least(m["hi"], b))
     value = tract_score(F.col("seq"), a, b) - F.col("up_cost") - F.col("dn_cost")
-    best = pairs.where(marked & (value > 0)).groupBy("locus_id", "read", "weight", "up_flank", "dn_flank").agg(F.max(value).alias("value"))
+    best = pairs.where(_marked(a, b) & (value > 0)).groupBy("locus_id", "read", "weight", "up_flank", "dn_flank").agg(F.max(value).alias("value"))
     return best.groupBy("locus_id", "up_flank", "dn_flank").agg(F.sum(F.col("weight") * F.col("value")).alias("objective"))
 
 
+def objectives(reads: DataFrame) -> DataFrame:
+    """Objective of every candidate pair with a positive one: locus_id, up_flank, dn_flank, objective."""
+    return scored(*side_matches(reads))
+
+
+def bounds(matches: DataFrame, flank: str) -> DataFrame:
+    """What a pair with each candidate can reach at most: locus_id, flank, bound."""
+    most = matches.groupBy("locus_id", "read", "weight", flank).agg(F.max("gain").alias("gain"))
+    return most.groupBy("locus_id", flank).agg(F.sum(F.col("weight") * F.col("gain")).alias("bound"))
+
+
+def reaching(distinct: DataFrame, ups: DataFrame, dns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matches of the candidates whose bound reaches the floor of their locus."""
+    limits = [settled(bounds(m, c)) for m, c in ((ups, "up_flank"), (dns, "dn_flank"))]
+    first = [b.groupBy("locus_id").agg(F.max_by(c, F.struct("bound", c)).alias(c)) for b, c in zip(limits, ("up_flank", "dn_flank"), strict=True)]
+    chosen = [m.join(f, ["locus_id", c], "left_semi") for m, f, c in zip((ups, dns), first, ("up_flank", "dn_flank"), strict=True)]
+    floor = settled(scored(distinct, *chosen).select("locus_id", F.col("objective").alias("floor")))
+    out = []
+    for m, b, c in zip((ups, dns), limits, ("up_flank", "dn_flank"), strict=True):
+        kept = b.join(floor, "locus_id", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0)))
+        out.append(m.join(kept.select("locus_id", c), ["locus_id", c], "left_semi"))
+    return out[0], out[1]
+
+
 def best_pairs(reads: DataFrame) -> DataFrame:
     """The best pair of each locus, the first of equal ones, with how many are equal."""
-    scored = objectives(reads)
+    distinct, ups, dns = map(settled, side_matches(reads))
+    found = scored(distinct, *reaching(distinct, ups, dns))
     locus = W.partitionBy("locus_id")
-    top = scored.withColumn("most", F.max("objective").over(locus)).where("objective = most")
+    top = found.withColumn("most", F.max("objective").over(locus)).where("objective = most")
     first = F.min(F.struct("up_flank", "dn_flank"))
     out = top.groupBy("locus_id", "objective").agg(first.alias("pair"), F.count("*").alias("n_tied_pairs"))
     return out.select("locus_id", "pair.up_flank", "pair.dn_flank", "objective", "n_tied_pairs")
 
 
+def mismatches(placed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Loci whose reads, placed with the chosen pair, do not add up to its objective."""
+    total = placed.groupBy("locus_id").agg(F.sum(F.greatest("value", F.lit(0))).alias("total"))
+    return pairs.join(total, "locus_id", "left").where(F.col("objective") != F.coalesce("total", F.lit(0))).select("locus_id", "objective", "total")
+
+
 def modal_positions(coordinates: DataFrame) -> DataFrame:
     """Most common (outer, run) coordinates of each group; ties go to those nearest the G run.
 

@@ -44,6 +44,9 @@ def build_flanks(alignments: DataFrame, loci: DataFrame, sample: str) -> DataFra
     counted = reads.groupBy("locus_id", "seq", "marks").agg(F.count("*").alias("weight"))
     pairs = kept_once(flank_search.best_pairs(counted))
     placed = kept_once(placement.place(reads.join(pairs.select("locus_id", "up_flank", "dn_flank"), "locus_id")).where("kept"))
+    wrong = flank_search.mismatches(placed, pairs).limit(10).collect()
+    if wrong:
+        raise AssertionError(f"placement and search disagree: {[r.asDict() for r in wrong]}")
     at = lambda i: al.reference_coordinate(F.col("blocks"), F.col(i), F.col("ref_orientation"), F.length("raw"))
     plus = F.when(F.col("ref_orientation") == "-", -1).otherwise(1)
     sides = [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.tract import format_pattern, offset_at_ref_pos
 from strandloom.operators import patterns, phasing
-from strandloom.sources.panel import Panel
+from strandloom.sources.panel import Panel, load_versioned, save_versioned
 from strandloom.sources.shared import settled
 
 SNV_COLUMNS = [
@@ -18,6 +18,9 @@ SNV_COLUMNS = [
 ]
 
 
+PHASING_VERSION = "1"
+
+
 @dataclass
 class Phased:
     """Variants with their phase, and panel rows with votes and labels."""
@@ -25,6 +28,14 @@ class Phased:
     snvs: DataFrame
     rows: DataFrame
 
+    def save(self, path: str) -> None:
+        save_versioned(self.rows.sparkSession, path, {"snvs": self.snvs, "rows": self.rows}, PHASING_VERSION)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Phased:
+        read = load_versioned(spark, path, PHASING_VERSION)
+        return Phased(read("snvs"), read("rows"))
+
 
 def phase(panel: Panel, min_coverage=phasing.MIN_COVERAGE, vaf_min=phasing.VAF_MIN, min_linkage_families=phasing.MIN_LINKAGE_FAMILIES,
           min_informative_positions=phasing.MIN_INFORMATIVE, vote_margin=phasing.VOTE_MARGIN) -> Phased:

@@ -170,10 +170,8 @@ def panel_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
   m AS (SELECT locus_id, CAST(max(len(l)) AS INTEGER) AS n_runs, CAST(max(list_max(l)) AS INTEGER) AS max_run, CAST(sum(cnt) AS BIGINT) AS n_reads FROM r GROUP BY locus_id)
   SELECT *, CAST((SELECT max(max_run) FROM m) + 1 AS INTEGER) AS n_alleles FROM m""")
 def panel_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source.derived_panel(spark, sf_dir).rows
-    runs = fn.run_lengths(F.col("seq"))
-    meta = rows.groupBy("locus_id").agg(F.max(F.size(runs)).alias("n_runs"), F.max(F.array_max(runs)).alias("max_run"), F.sum("cnt").alias("n_reads"))
-    return meta.crossJoin(F.broadcast(meta.agg((F.max("max_run") + 1).alias("n_alleles"))))
+    meta = source.run_meta(source.derived_panel(spark, sf_dir).rows)
+    return meta.crossJoin(F.broadcast(source.panel_info(meta)))
 
 
 _COUNTS = ", ".join(f"CAST(coalesce(sum(cnt) FILTER (b = '{b}'), 0) AS BIGINT) AS n_{n}" for b, n in zip("ACGTN.", ["A", "C", "G", "T", "N", "pad"], strict=True))

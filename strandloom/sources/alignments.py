@@ -1,25 +1,20 @@
 """Alignments from SAM text and from BAM files.
 
 Both give the columns chrom, ord, qname, flag, pos0, mapq, cigar, tlen, seq,
-qual (array of Phred scores or null), md, mi, sa. SAM is split by Spark; each
-BAM file is read by one task, block by block, and many files spread over the
-cluster.
+qual (array of Phred scores or null), md, mi, sa. Both are split inside files.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+import glob
+import os
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = (
-    "chrom string, ord long, qname string, flag int, pos0 long, mapq int, cigar string, tlen int, seq string, qual array<int>, md string, mi string, sa string"
-)
-_SEQ, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
+from strandloom.sources.bam import SCHEMA, SPLIT_BYTES, BamSource, read_header
+
+__all__ = ["SCHEMA", "read_bam", "read_group_sample", "read_groups", "read_sam"]
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
@@ -38,90 +33,33 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-class _Blocks:
-    """Bytes of a blocked gzip file, inflated one block at a time."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.held = data, 0, b""
-
-    def take(self, n: int) -> bytes:
-        while len(self.held) < n and self.at < len(self.data):
-            inflater = zlib.decompressobj(31)
-            self.held += inflater.decompress(self.data[self.at :])
-            self.at = len(self.data) - len(inflater.unused_data)
-        out, self.held = self.held[:n], self.held[n:]
-        return out
-
-
-def _tags(data: bytes) -> dict[str, str]:
-    out, at = {}, 0
-    while at + 3 <= len(data):
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind in "ZH":
-            end = data.index(0, at)
-            out[name] = data[at:end].decode()
-            at = end + 1
-        elif kind == "B":
-            size, n = _SIZES[chr(data[at])], struct.unpack_from("<i", data, at + 1)[0]
-            at += 5 + size * n
-        else:
-            at += _SIZES[kind]
-    return out
-
-
-def bam_records(data: bytes):
-    """Tuples in the order of SCHEMA, of one BAM file's bytes."""
-    blocks = _Blocks(data)
-    if blocks.take(4) != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    blocks.take(struct.unpack("<i", blocks.take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", blocks.take(4))[0]):
-        size = struct.unpack("<i", blocks.take(4))[0]
-        names.append(blocks.take(size)[:-1].decode())
-        blocks.take(4)
-    ordinal = 0
-    while len(head := blocks.take(4)) == 4:
-        record = blocks.take(struct.unpack("<i", head)[0])
-        ref, pos, name_size, mapq, _, n_ops, flag, n_seq, _, _, tlen = struct.unpack_from("<iiBBHHHiiii", record)
-        at = 32
-        qname = record[at : at + name_size - 1].decode()
-        at += name_size
-        ops = struct.unpack_from(f"<{n_ops}I", record, at)
-        at += 4 * n_ops
-        packed = record[at : at + (n_seq + 1) // 2]
-        at += len(packed)
-        seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:n_seq]
-        qual = list(record[at : at + n_seq])
-        tags = _tags(record[at + n_seq :])
-        cigar = "".join(f"{op >> 4}{_OPS[op & 15]}" for op in ops) or None
-        missing = not qual or qual[0] == 255
-        yield (names[ref] if ref >= 0 else None, ordinal, qname, flag, pos, mapq, cigar, tlen, seq, None if missing else qual, tags.get("MD"), tags.get("MI"), tags.get("SA"))
-        ordinal += 1
-
+def read_bam(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Alignments of a BAM file, of those a pattern names or of a folder's.
 
-def read_bam(spark: SparkSession, path: str, batch: int = 20_000) -> DataFrame:
-    """Alignments of all BAM files at a path, read through Spark's file reader."""
-    columns = [c.split()[0] for c in SCHEMA.split(", ")]
+    regions: (chrom, start, end) intervals. A file with an index is then read
+    where records over them lie, which may be more than these records.
+    """
+    spark.dataSource.register(BamSource)
+    reader = spark.read.format("strandloom_bam").option("path", path).option("splitBytes", split_bytes)
+    if regions is not None:
+        reader = reader.option("regions", ";".join(f"{c}:{a}:{b}" for c, a, b in regions))
+    return reader.load()
 
-    def parse(batches):
-        for files in batches:
-            for content in files["content"]:
-                rows = []
-                for record in bam_records(bytes(content)):
-                    rows.append(record)
-                    if len(rows) == batch:
-                        yield pd.DataFrame(rows, columns=columns)
-                        rows = []
-                yield pd.DataFrame(rows, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, SCHEMA)
+def read_groups(spark: SparkSession, path: str) -> list[str]:
+    """Samples that the read groups of SAM or BAM headers name."""
+    if path.endswith(".sam"):
+        lines = [r["value"] for r in spark.read.text(path).where("value LIKE '@RG%'").distinct().collect()]
+    else:
+        paths = glob.glob(os.path.join(path, "*.bam")) if os.path.isdir(path) else glob.glob(path)
+        lines = [x for p in paths for x in read_header(p).text.split("\n") if x.startswith("@RG")]
+    fields = [f for x in lines for f in x.split("\t") if f.startswith("SM:")]
+    return sorted({f[3:] for f in fields if f[3:]})
 
 
-def read_group_sample(sample: str | None, headers: Column | list[str]) -> str:
+def read_group_sample(sample: str | None, found: list[str]) -> str:
     """The one sample of the read groups; several, none, or another than given is an error."""
-    found = sorted({h for h in headers if h})
+    found = sorted({x for x in found if x})
     if len(found) > 1:
         raise ValueError(f"read groups of several samples: {found}")
     if found and sample is not None and sample != found[0]:

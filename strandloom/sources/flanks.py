@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE_SCHEMA = (
@@ -63,3 +63,17 @@ def key_differences(bed: DataFrame, flanks: DataFrame) -> DataFrame:
 def flanks_of_normals(samples: DataFrame, flanks: DataFrame) -> DataFrame:
     """Each sample with the flank table of its normal: samples has sample_id and normal."""
     return samples.join(flanks.withColumnRenamed("sample", "normal"), "normal")
+
+
+_RECORD = "bases string, ref_positions array<long>, run_side_offset int"
+
+
+def flank_json(bases: Column, ref_positions: Column, run_side_offset: Column) -> Column:
+    """A flank record as JSON text; null without bases."""
+    record = F.struct(bases.alias("bases"), F.coalesce(ref_positions, F.array().cast("array<long>")).alias("ref_positions"), run_side_offset.cast("int").alias("run_side_offset"))
+    return F.when(bases.isNotNull(), F.to_json(record))
+
+
+def flank_from_json(text: Column) -> Column:
+    """The struct (bases, ref_positions, run_side_offset) of a JSON flank record; the inverse of flank_json()."""
+    return F.from_json(text, _RECORD)

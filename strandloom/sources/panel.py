@@ -8,44 +8,91 @@ for no information. Offsets are positions in that string, from 0.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strandloom.functions.tract import run_lengths
+
 SCHEMA_VERSION = "3"
 ROW_KEY = ["locus_id", "mi", "strand", "seq", "flanking_seq"]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def save_versioned(spark: SparkSession, path: str, tables: dict[str, DataFrame], version: str) -> None:
+    """Write tables under a generation of their own, then the version that names it.
+
+    What was saved there before stays whole and readable until the new version
+    stands; a broken write leaves it as it was. Its tables go afterwards.
+    """
+    generation = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{generation}/{name}")
+    before = _version(spark, path)
+    line = spark.range(1).select(F.lit(version).alias("schema_version"), F.lit(generation).alias("generation"))
+    line.write.mode("overwrite").parquet(f"{path}/version")
+    if before is not None and "generation" in before:
+        _remove(spark, f"{path}/{before['generation']}")
+
+
+def _version(spark: SparkSession, path: str) -> Row | None:
+    try:
+        return spark.read.parquet(f"{path}/version").first()
+    except AnalysisException:  # nothing is saved there
+        return None
+
+
+def load_versioned(spark: SparkSession, path: str, version: str) -> Callable[[str], DataFrame]:
+    """Reader of the tables that save_versioned() has written; another version is an error."""
+    found = _version(spark, path)
+    if found is None or found["schema_version"] != version or "generation" not in found:
+        raise ValueError(f"{path} has no or another schema version")
+    return lambda name: spark.read.parquet(f"{path}/{found['generation']}/{name}")
+
+
 @dataclass
 class Panel:
     rows: DataFrame
     loci: DataFrame
 
-    def save(self, path: str) -> None:
-        """Write both tables, the version last, so that a broken write is not taken for a panel."""
-        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
-        self.loci.write.mode("overwrite").parquet(f"{path}/loci")
-        version = self.rows.sparkSession.range(1).select(F.lit(SCHEMA_VERSION).alias("schema_version"))
-        version.write.mode("overwrite").parquet(f"{path}/version")
+    def save(self, path: str, **more: DataFrame) -> None:
+        """Write the panel, and more tables beside it, so that it is whole or not there."""
+        save_versioned(self.rows.sparkSession, path, {"rows": self.rows, "loci": self.loci, **more}, SCHEMA_VERSION)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Panel:
-        found = spark.read.parquet(f"{path}/version").first()
-        if found is None or found["schema_version"] != SCHEMA_VERSION:
-            raise ValueError(f"panel {path} has no or another schema version")
-        return Panel(spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/loci"))
+        read = load_versioned(spark, path, SCHEMA_VERSION)
+        return Panel(read("rows"), read("loci"))
 
 
 def locus_column(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One metadata column by locus, without touching the rows."""
-    loci = spark.read.parquet(f"{path}/loci")
+    loci = load_versioned(spark, path, SCHEMA_VERSION)("loci")
     if name not in loci.columns:
         raise ValueError(f"no column {name} in the loci of {path}")
     return loci.select("locus_id", name)
 
 
+def run_meta(rows: DataFrame) -> DataFrame:
+    """Most runs and largest run of each locus's tracts, and its reads."""
+    runs = run_lengths(F.col("seq"))
+    return rows.groupBy("locus_id").agg(F.max(F.size(runs)).alias("n_runs"), F.max(F.array_max(runs)).alias("max_run"), F.sum("cnt").alias("n_reads"))
+
+
+def panel_info(meta: DataFrame, margin: int = 1) -> DataFrame:
+    """One row: the number of alleles of the whole panel, its largest run and a margin."""
+    return meta.agg((F.max("max_run") + margin).alias("n_alleles"))
+
+
 def dedup(reads: DataFrame) -> DataFrame:
     """Fragments to panel rows: one fragment counts once."""
     return reads.groupBy(*ROW_KEY).agg(F.count("*").alias("cnt"))

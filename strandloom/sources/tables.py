@@ -12,15 +12,19 @@ SNV_SCHEMA = (
 )
 
 
-def write_tsv(df: DataFrame, path: str, order: list) -> None:
-    """A table with a header line and blanks for nulls, sorted; for results, which are small."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="")
+def write_tsv(df: DataFrame, path: str, order: list, one_file: bool = False) -> None:
+    """A table with header lines and blanks for nulls, sorted through its files in the order of their names.
+
+    one_file: merge it into one file, for tables with a few rows a locus.
+    """
+    ordered = df.orderBy(*order)
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="")
 
 
 def write_snv_calls(snvs: DataFrame, path: str) -> None:
     """Phased variants first, then the dropped ones, by locus and position in the string."""
     rank = [F.when(F.col("status") == "phased", 0).otherwise(1), F.when(F.col("segment") == "up", 0).otherwise(1)]
-    write_tsv(snvs, path, ["locus_id", *rank, "string_index"])
+    write_tsv(snvs, path, ["locus_id", *rank, "string_index"], one_file=True)
 
 
 def read_snv_calls(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +58,10 @@ def provenance(spark: SparkSession, flank_table: str, settings: dict[str, str])
     """One row: hash of the flank table's bytes, settings, merge policy and schema version."""
     from strandloom.sources.panel import SCHEMA_VERSION
 
-    files = spark.read.format("binaryFile").load(flank_table)
-    digest = files.orderBy("path").limit(1).select(F.sha2("content", 256).alias("flank_table_sha256"))
+    files = spark.read.format("binaryFile").load(flank_table).select("path", F.sha2("content", 256).alias("sha"))
+    listed = F.array_sort(F.collect_list(F.struct("path", "sha")))
+    # of a table in several files, the hash of their hashes in the order of their names
+    shas = files.agg(F.transform(listed, lambda f: f["sha"]).alias("shas"))
+    digest = shas.select(F.when(F.size("shas") == 1, F.col("shas")[0]).otherwise(F.sha2(F.array_join("shas", "\n"), 256)).alias("flank_table_sha256"))
     fixed = {"policy": "merge_by_quality", "schema_version": SCHEMA_VERSION, **settings}
     return digest.select("flank_table_sha256", *[F.lit(v).alias(k) for k, v in sorted(fixed.items())])

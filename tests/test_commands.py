@@ -3,6 +3,7 @@
 import pytest
 
 from strandloom.__main__ import main
+from strandloom.operators.viewer import differing_rows
 from strandloom.sources import tables as text
 from strandloom.sources.panel import Panel, derived_pair
 
@@ -23,7 +24,11 @@ def test_flanks_and_extraction(spark, tmp_path):
     p = lambda name: str(tmp_path / name)
     main(["build-flanks", "--bam", p("a.sam"), "--bed", p("a.bed"), "--out", p("flanks"), "--sample", "s"], spark)
     main(["extract", "--bam", p("a.sam"), "--bed", p("a.bed"), "--flanks", p("flanks"), "--out", p("panel")], spark)
-    rows = Panel.load(spark, p("panel")).rows.collect()
+    panel = Panel.load(spark, p("panel"))
+    rows = panel.rows.collect()
+    locus = panel.loci.first()
+    assert (locus["reference_window_status"], locus["reference_tract"], locus["n_runs"], locus["max_run"]) == ("recovered", TRACT, 2, 7)
+    assert locus["n_reads"] == 9 and '"run_side_offset":9' in locus["upstream_flank"]
     assert sum(r["cnt"] for r in rows) == 9 and {r["seq"] for r in rows} == {TRACT}
     (tmp_path / "b.bed").write_text("chr1\t60\t74\tX\n")
     with pytest.raises(ValueError):
@@ -35,8 +40,11 @@ def test_phasing(spark, tmp_path, capsys):
     p = lambda name: str(tmp_path / name)
     reference.save(p("r"))
     target.save(p("t"))
-    main(["phase", "--panel", p("r"), "--out", p("phased")], spark)
+    main(["phase", "--panel", p("r"), "--out", p("phased"), "--save", p("saved")], spark)
     main(["ref-phase", "--panel", p("t"), "--reference-snv-calls", p("phased/snv_calls"), "--out", p("against")], spark)
     assert "hap_major" in capsys.readouterr().out
     assert text.read_labels(spark, p("phased/haplotype_calls")).count() == reference.rows.count()
     assert text.read_labels(spark, p("against/haplotype_calls")).count() == target.rows.count()
+    main(["ref-phase", "--panel", p("t"), "--reference-phasing", p("saved"), "--out", p("again"), "--target-sample-id", "tumour"], spark)
+    a, b = (text.read_labels(spark, p(f"{x}/haplotype_calls")) for x in ("against", "again"))
+    assert differing_rows(a, b).count() == 0 and '"target": "tumour"' in capsys.readouterr().out

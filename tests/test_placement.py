@@ -137,6 +137,12 @@ def test_pair_search(spark, seed):
     tied = sorted(p for p, s in scores.items() if s == most)
     got = flank_search.best_pairs(df).first()
     assert tuple(got) == ("L", *tied[0], most, len(tied))
+    # bounds leave few pairs to score, and hold
+    distinct, ups, dns = flank_search.side_matches(df)
+    few = flank_search.scored(distinct, *flank_search.reaching(distinct, ups, dns)).count()
+    assert len(tied) <= few <= sum(s > 0 for s in scores.values()) / 4
+    reach = [{r[c]: r["bound"] for r in flank_search.bounds(m, c).collect()} for m, c in ((ups, "up_flank"), (dns, "dn_flank"))]
+    assert all(s <= min(reach[0].get(u, 0), reach[1].get(v, 0)) for (u, v), s in scores.items())
 
 
 def test_modal_positions(spark):
