@@ -50,6 +50,8 @@ COPY_SHARE = 0.75
 _MINIMA, _BAND = 64, 4
 MAX_TERMS = 2_000
 STEM_LENGTHS = (4, 5, 6)
+#: Coefficient of the length of a text with hits where the sample says nothing else.
+LENGTH_PRIOR = -0.3
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and what
@@ -178,21 +180,35 @@ def _context(folded: str, start: int, end: int) -> list[str]:
 def _fit(rows: np.ndarray, toxic: np.ndarray) -> tuple[float, float, float]:
     """Ridge logistic regression by Newton steps; rows: hit and length features.
 
-    Length may only lower a score: where it would raise it, the rest is fitted without it.
+    The length term is drawn towards LENGTH_PRIOR, so that a small sample that
+    says little about it still normalises by length. Where the sample would let
+    length raise a score, the term is held at the prior and the rest is fitted.
     """
     full = np.column_stack([np.ones(len(rows)), rows[:, 0], np.where(rows[:, 0] > 0, rows[:, 1], 0.0)])
-    for columns in (3, 2):
-        x, ridge = full[:, :columns], np.diag([1e-3, 0.05, 0.05][:columns])
-        beta = np.zeros(columns)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (toxic - p) - ridge @ beta)
-            beta += np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-8:
-                break
-        if beta[-1] <= 0:
+    beta = _newton(full, toxic, np.array([1e-3, 0.05, 0.5]), np.array([0.0, 0.0, LENGTH_PRIOR]), 0.0)
+    if beta[2] >= 0:
+        beta[:2], beta[2] = _newton(full[:, :2], toxic, np.array([1e-3, 0.05]), np.zeros(2), LENGTH_PRIOR * full[:, 2]), LENGTH_PRIOR
+    return float(beta[0]), float(beta[1]), float(beta[2])
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, prior: np.ndarray, fixed) -> np.ndarray:
+    """Penalised logistic regression; a step is halved until it lowers the loss."""
+
+    def loss(beta):
+        z = x @ beta + fixed
+        return np.logaddexp(0, z).sum() - (y * z).sum() + (ridge * (beta - prior) ** 2).sum() / 2
+
+    beta, least = prior.copy(), loss(prior)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta + fixed, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(hessian, x.T @ (y - p) - ridge * (beta - prior))
+        while np.abs(step).max() > 1e-8 and (reached := loss(beta + step)) >= least:
+            step = step / 2
+        if np.abs(step).max() <= 1e-8:
             break
-    return float(beta[0]), float(beta[1]), float(beta[2]) if len(beta) == 3 else 0.0
+        beta, least = beta + step, reached
+    return beta
 
 
 def _weight(toxic: float, clean: float, clump: float, words: tuple[float, float], least: float) -> float:

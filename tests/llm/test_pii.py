@@ -3,9 +3,12 @@
 import hashlib
 import re
 
+import pytest
+from brute import accepted_spans
 from pyspark.sql import functions as F
 
 from strandloom.llm import pii
+from strandloom.llm.common import durable
 from strandloom.llm.queries.op01 import spans_of
 
 PLAIN = {
@@ -99,3 +102,17 @@ def test_written_addresses_in_both_spellings(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [texts[r["doc_id"]][c["s"] : c["e"]] for c in r["c"] if c["kind"] == "written_email"] for r in df.select("doc_id", pii.candidates("text").alias("c")).collect()}
     assert got == {0: [texts[0]], 1: [texts[1]], 2: [texts[2]], 3: [], 4: []}
+
+
+def test_estimates_against_plain_python(spark, nasty, sample):
+    """Expectation-maximisation over counted votes against one candidate at a time, and what the classifier keeps."""
+    docs = sample.unionByName(nasty).select("text", pii.candidates("text").alias("spans"))
+    docs = durable(docs.withColumn("n", F.monotonically_increasing_id()), "t")[0]
+    model = pii.fit(docs.select("spans"))
+    rows = sorted(docs.select("n", "spans", pii.accepted("spans", model).alias("kept")).collect(), key=lambda r: r["n"])
+    kept, reliability, share = accepted_spans([r["spans"] for r in rows])
+    assert all(model.reliability[k] == pytest.approx(v, abs=1e-6) for k, v in reliability.items())
+    assert all(model.share[k] == pytest.approx(v, abs=1e-6) for k, v in share.items())
+    where = lambda spans: [(c["kind"], c["s"], c["e"]) for c in spans]
+    assert [where(r["kept"]) for r in rows] == [where(x) for x in kept]
+    assert any(c["kind"] in pii.WEAK for x in kept for c in x)

@@ -1,8 +1,14 @@
 """Folding, matching and held-out accuracy of the toxicity score."""
 
+import math
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.llm import toxicity
 from strandloom.llm.queries.op03 import held_out, op3_toxicity
 from strandloom.llm.toxicity import Lexicon, Matcher, fold, learn, score_column, terms
 
@@ -36,6 +42,46 @@ def test_exceptions_are_learned(spark):
     lexicon = learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     m = Matcher(lexicon)
     assert m.score("they kill it") > 0.3 and m.score("calm tea") < 0.3
+    assert "kill switch" in lexicon.exceptions and m.score("a kill switch") < 0.3 < m.score("a kill switch, kill it")
+    # without its exceptions the same lexicon hits the clean texts
+    bare = Matcher(Lexicon(lexicon.weights, [], lexicon.coefficients))
+    assert bare.score("a kill switch") > 0.3
+
+
+def test_length_lowers_scores_whatever_the_sample():
+    """Also where the toxic texts of a small sample are the long ones."""
+    rng = np.random.default_rng(3)
+    for sign in (-1, 1):
+        length = rng.uniform(2, 8, 400)
+        hit = np.where(rng.random(400) < 0.3, 1.0, 0.0)
+        toxic = ((hit > 0) & (sign * (length - 5) > rng.normal(0, 1, 400))).astype(float)
+        a, b, c = toxicity._fit(np.column_stack([hit, length]), toxic)
+        assert b > 0 and c < 0 and (sign < 0) == (c < 2 * toxicity.LENGTH_PRIOR)
+
+
+def brute_score(lexicon, text):
+    """Every term at every place, without an automaton."""
+    folded = fold(text)
+    spared = [(a, a + len(x)) for x in lexicon.exceptions for a in [m.start() for m in re.finditer(rf"(?=(?<!\w){re.escape(x)}(?!\w))", folded)]]
+    best = {}
+    for term, weight in lexicon.weights.items():
+        end = r"(?!\w)" if term[0] == "=" else ""
+        for m in re.finditer(rf"(?<!\w){re.escape(term[1:])}{end}", folded):
+            if not any(a <= m.start() and m.end() <= b for a, b in spared):
+                best[m.start()] = max(best.get(m.start(), 0.0), weight)
+    hit, length = math.log1p(sum(best.values())), math.log1p(folded.count(" ") + folded.count("\n"))
+    a, b, c = lexicon.coefficients
+    return 1 / (1 + math.exp(-(a + b * hit + (c * length if hit else 0.0))))
+
+
+def test_scores_against_brute_force(nasty_rows):
+    rng = random.Random(4)
+    lexicon = Lexicon({"=scum": 2.0, "^scum": 0.7, "^idio": 3.0, "=idiot": 3.5, "^a": 0.2, "=mail": 1.0}, ["scum bucket", "idiot proof", "an idiot"], (-2.0, 1.5, -0.2))
+    words = ["scum", "scummy", "SCUM", "bucket", "1d1ot", "idiotic", "an", "proof", "mail", "x", "scum-bucket", "pre_idiot", "\n", "ｓｃｕｍ", "буcket"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(300)] + [r[1] for r in nasty_rows]
+    m = Matcher(lexicon)
+    assert all(m.score(t) == pytest.approx(brute_score(lexicon, t), abs=1e-9) for t in texts)
+    assert len({round(m.score(t), 6) for t in texts}) > 100
 
 
 def test_held_out_rows(spark):
