@@ -458,7 +458,7 @@ def templates(pages: DataFrame, known: DataFrame, min_pages: int = MIN_PAGES, sa
     return durable(known.join(flags, "site"), "html-templates")[0]
 
 
-_CLASSES = r"(?i)<(?:body|main|article|section|div|header|footer|table)\b[^>]*?\bclass\s*=\s*[\"']?([^\"'>]*)"
+_CLASSES = r"(?i)<(?:body|main|article|section|div|header|footer|table)\b[^<>]*?\bclass\s*=\s*[\"']?([^\"'<>]*)"
 
 
 def sites(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -150,6 +150,12 @@ def test_each_layout_has_its_reference(spark, monkeypatch):
     assert texts(spark, pages) == want
 
 
+def test_broken_markup_takes_linear_time(spark):
+    """Openings without end, a hundred thousand times."""
+    pages = ["<div " * 100_000, "<div class='" * 100_000, "<script " * 100_000 + "x", "<a '" * 100_001, "<!-- " * 100_000, "<p>" * 20_000 + "end"]
+    assert texts(spark, pages)[-1] == "end"
+
+
 def test_test_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     sources = {r["page_id"]: r["html"] for r in pages.collect()}
