@@ -96,9 +96,19 @@ def sections(rows: DataFrame) -> DataFrame:
 
 
 def panel_overview(panel: Panel, snvs: DataFrame) -> DataFrame:
+    """Reads, molecules, largest run and variants of each locus.
+
+    A panel whose loci have a status lists all of them, with it and whether a
+    side has no reference position.
+    """
     by_molecule = panel.rows.groupBy("locus_id", "mi").agg(F.sum("cnt").alias("cnt"), F.max(F.array_max(run_lengths(F.col("seq")))).alias("run"))
     reads = by_molecule.groupBy("locus_id").agg(F.sum("cnt").alias("n_reads"), F.count("*").alias("molecules"), F.max("run").alias("largest_run"))
     status = snvs.groupBy("locus_id").agg(F.count_if(F.col("status") == "phased").alias("phased"), F.count_if(F.col("status") != "phased").alias("dropped"))
+    if "reference_window_status" in panel.loci.columns:
+        known = panel.loci.select(
+            "locus_id", F.col("reference_window_status").alias("status"), ((F.col("up_start") < 0) | (F.col("dn_start") < 0)).alias("no_position")
+        )
+        reads = known.join(reads, "locus_id", "left").fillna(0, ["n_reads", "molecules"])
     return reads.join(status, "locus_id", "left").fillna(0, ["phased", "dropped"])
 
 

@@ -54,6 +54,28 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return calls
 
 
+SUMMARY_SCHEMA = (
+    "locus_id string, n_rfs long, n_rows long, admitted_patterns string, n_admitted_patterns long, hap_major_profile string, hap_minor_profile string, "
+    "n_snvs_phased long, n_snvs_dropped_low_linkage long, max_discordance double, n_anchor_families long, reads_total long, reads_major long, reads_minor long, "
+    "reads_unk long, phase_interrupter_concordance_major double, phase_interrupter_concordance_minor double"
+)
+
+
+def read_locus_summary(spark: SparkSession, path: str) -> DataFrame:
+    """A saved locus_summary table. A blank text is an empty one, not a missing one."""
+    found = spark.read.schema(SUMMARY_SCHEMA).csv(path, sep="\t", header=True, nullValue="", emptyValue="")
+    return found.fillna("", ["admitted_patterns", "hap_major_profile", "hap_minor_profile"])
+
+
+def read_phasing_folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that the phase command writes into a folder."""
+    return {
+        "haplotype_calls": read_labels(spark, f"{path}/haplotype_calls"),
+        "snv_calls": read_snv_calls(spark, f"{path}/snv_calls"),
+        "locus_summary": read_locus_summary(spark, f"{path}/locus_summary"),
+    }
+
+
 def provenance(spark: SparkSession, flank_table: str, settings: dict[str, str]) -> DataFrame:
     """One row: hash of the flank table's bytes, settings, merge policy and schema version."""
     from strandloom.sources.panel import SCHEMA_VERSION

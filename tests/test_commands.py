@@ -3,7 +3,8 @@
 import pytest
 
 from strandloom.__main__ import main
-from strandloom.operators.viewer import differing_rows
+from strandloom.operators import tables
+from strandloom.operators.viewer import differing_rows, panel_overview
 from strandloom.sources import tables as text
 from strandloom.sources.panel import Panel, derived_pair
 
@@ -28,6 +29,8 @@ def test_flanks_and_extraction(spark, tmp_path):
     rows = panel.rows.collect()
     locus = panel.loci.first()
     assert (locus["reference_window_status"], locus["reference_tract"], locus["n_runs"], locus["max_run"]) == ("recovered", TRACT, 2, 7)
+    overview = panel_overview(panel, spark.createDataFrame([], "locus_id string, status string")).first()
+    assert (overview["status"], overview["no_position"], overview["n_reads"], overview["largest_run"], overview["phased"]) == ("recovered", False, 9, 7, 0)
     assert locus["n_reads"] == 9 and '"run_side_offset":9' in locus["upstream_flank"]
     assert sum(r["cnt"] for r in rows) == 9 and {r["seq"] for r in rows} == {TRACT}
     (tmp_path / "b.bed").write_text("chr1\t60\t74\tX\n")
@@ -41,6 +44,9 @@ def test_phasing(spark, tmp_path, capsys):
     reference.save(p("r"))
     target.save(p("t"))
     main(["phase", "--panel", p("r"), "--out", p("phased"), "--save", p("saved")], spark)
+    found, panel = text.read_phasing_folder(spark, p("phased")), Panel.load(spark, p("r"))
+    summary = tables.locus_summary(panel, tables.Phased.load(spark, p("saved")))
+    assert differing_rows(summary, found["locus_summary"]).count() == 0 and found["snv_calls"].count() > 0
     main(["ref-phase", "--panel", p("t"), "--reference-snv-calls", p("phased/snv_calls"), "--out", p("against")], spark)
     assert "hap_major" in capsys.readouterr().out
     assert text.read_labels(spark, p("phased/haplotype_calls")).count() == reference.rows.count()

@@ -208,6 +208,13 @@ def test_pileup_columns(spark):
     assert shown(0) == [] and shown(1) == [3, 5] and shown(99) == [0, 1, 2, 3, 5, 6, 7] and shown(-2) == []
 
 
+def test_flanks_of_normals(spark):
+    samples = spark.createDataFrame([("t1", "n1"), ("t2", "n1"), ("n2", "n2"), ("t3", "none")], "sample_id string, normal string")
+    sides = spark.createDataFrame([("n1", "L"), ("n2", "L"), ("n2", "M")], "sample string, locus string")
+    got = sorted((r["sample_id"], r["locus"]) for r in flanks.flanks_of_normals(samples, sides).collect())
+    assert got == [("n2", "L"), ("n2", "M"), ("t1", "L"), ("t2", "L")]
+
+
 def test_flank_records(spark):
     df = spark.createDataFrame([("ACG", [5, 7], 2), ("ACG", None, 0), (None, None, 0)], "b string, p array<long>, o int")
     out = df.select(flanks.flank_json(F.col("b"), F.col("p"), F.col("o")).alias("j")).withColumn("r", flanks.flank_from_json(F.col("j"))).collect()
