@@ -262,12 +262,14 @@ def visits(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         p, q = group["p"].iloc[0], group["q"].iloc[0]
         sides = [group[group["pack"] == x].sort_values("chunk") for x in (p, q)]
         a, b = ((s["chunk"].to_numpy(), np.array(s["low"].tolist()), np.array(s["high"].tolist())) for s in sides)
-        if not len(a[0]) or not len(b[0]):
-            return pd.DataFrame({"a": [], "b": [], "blocks": []})
-        near = near_boxes(a[1], a[2], b[1], b[2], threshold)
+        near = np.zeros((len(a[0]), len(b[0])), dtype=np.int64)
+        if near.size:
+            near = near_boxes(a[1], a[2], b[1], b[2], threshold)
         i, j = np.nonzero(np.triu(near) if p == q else near)
-        x, y = a[0][i], b[0][j]
-        return pd.DataFrame({"a": np.where(x <= y, x, y), "b": np.where(x <= y, y, x), "blocks": near[i, j]})
+        names = [sorted(x) for x in zip(a[0][i], b[0][j], strict=True)]
+        # plain objects: strings that Arrow holds in several pieces can't be packed into the rows that go back
+        low, high = (pd.Series([x[k] for x in names], dtype=object) for k in (0, 1))
+        return pd.DataFrame({"a": low, "b": high, "blocks": near[i, j]})
 
     return durable(paired.groupBy("dim", "p", "q").applyInPandas(compare, "a string, b string, blocks long"), "neighbour-visits")[0]
 
