@@ -64,18 +64,19 @@ def _shared_folder(spark: SparkSession) -> str:
 _MADE: dict[str, SparkSession] = {}
 
 
-def durable(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
+def durable(df: DataFrame, label: str = "t", codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write a table to the shared folder and read it back: (table, its path).
 
     Cuts lineage, so that what follows neither recomputes the plan nor can see
     another outcome of it when an executor is lost. The table goes with discard(),
-    at the end of a scratch() block, or at last with the process.
+    at the end of a scratch() block, or at last with the process. Tables that
+    hold texts take the codec zstd, which makes them smaller.
     """
     spark = df.sparkSession
     _importable(spark)
     path = f"{_shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _MADE[path] = spark
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 

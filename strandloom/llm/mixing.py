@@ -195,7 +195,7 @@ def _settled(docs: DataFrame, doc_id: str, text: str, source: str, keep: list[st
             _unit(F.col(doc_id), F.col(text), F.col(source)).alias("h"), words(F.col(text)).alias("words"),
             F.monotonically_increasing_id().alias("n"),
         ),
-        "mix-rows",
+        "mix-rows", "zstd",
     )
     return _apart(found)
 

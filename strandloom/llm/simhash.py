@@ -167,7 +167,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             F.struct(*own).alias("row"), F.col(doc_id).alias("id"), fingerprint_column(F.col(text)).alias("fp"),
             F.xxhash64(*own).alias("h"), F.monotonically_increasing_id().alias("n"),
         ),
-        "simhash-rows",
+        "simhash-rows", "zstd",
     )
     first = lambda c: F.min(c).alias("first")
     heads = rows.groupBy("fp").agg(first(F.struct(F.col("id").isNull().alias("nameless"), "id", "h", "n")))
