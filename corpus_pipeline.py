@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts stay as they are. n_chars becomes the new length where
     something was replaced. Extra columns are not read.
     """
-    found, _ = durable(docs.select(*COLUMNS, pii.candidates("text").alias("spans")), "pipeline-spans")
+    found, _ = durable(docs.select(*COLUMNS, pii.candidates("text").alias("spans")), "pipeline-spans", "zstd")
     found = found.withColumn("spans", pii.accepted("spans", pii.fit(found.select("spans"))))
     marked = F.size("spans") > 0
     return found.select(
