@@ -11,14 +11,18 @@ as given, in double precision.
 The range joins run together. Vectors are laid out in chunks of bounded size by
 recursive medians over all rotated axes, whose bounds come from a sample of
 SAMPLE_ROWS; every vector is placed, and a leaf that holds more than a chunk is
-cut by a hash. Two chunks are joined if their bounding boxes are within the share
-of some block, and are visited once for all such blocks: a slice of the pairs is
-tested block by block, and what any block lets through is verified. So no pair is
-tested in more than one visit, and nothing has to be deduplicated.
-
-A visit holds two chunks and one slice, whatever the number of vectors, and a
-dense group makes more visits, not larger ones. It reports links as a count for
-each vector and a spanning star for each group in it, never as a list of pairs.
+cut by a hash. Two chunks are joined if their bounding boxes are within the budget,
+and so within the share of some block, and are visited once. A visit first bounds
+each pair by the squared distance on the leading axes alone, which is never above
+that on all axes; what is left is tested on the blocks whose boxes are near, and
+what any of them lets through is verified. No pair is tested in more than one
+visit, and nothing has to be deduplicated.
+
+Chunks meet in a nested loop over partitions of them: a chunk is written once,
+whatever the number of chunks it meets, so disk grows with the vectors only. A
+visit holds two chunks and one slice, and a dense group makes more visits, not
+larger ones. It reports links as a count for each vector and a spanning star for
+each group in it, never as a list of pairs.
 
 Vectors that are alike are one class before the join; the copies only add to
 the counts.
@@ -37,14 +41,16 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm import vectors
-from strandloom.llm.common import bounded_batches, durable
+from strandloom.llm.common import bounded_batches, discard, durable
 from strandloom.llm.graph import components
 
 THRESHOLD = 0.9
@@ -53,11 +59,13 @@ BLOCK_DIM = 16
 CHUNK_ROWS = 4_096
 #: Vectors that the bounds of the leaves are fitted on, at most.
 SAMPLE_ROWS = 16_384
-#: Chunks whose boxes are compared at once, and pairs that are tested at once.
-BOX_ROWS = 2_048
-SLICE_PAIRS = 1 << 22
-#: Tasks of the visits at most.
+#: Chunks of either side whose boxes a task compares, at most and at least, and pairs that are tested at once.
+BOX_ROWS, LEAST_BOX_ROWS = 64, 4
+SLICE_PAIRS = 1 << 19
+#: Tasks of the visits, unless that takes more than BOX_ROWS.
 MOST_TASKS = 20_000
+#: Share of the axes that bound a pair, and their least number.
+LEAD_SHARE, LEAD_LEAST = 3 / 8, 8
 SEED = 8
 #: Slack for the rounding of the filters in single precision, far above its error.
 COARSE = 1e-4
@@ -146,49 +154,67 @@ def _star(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return low
 
 
-def _filters(turned: np.ndarray, block: tuple[int, int], budget: float) -> tuple[np.ndarray, np.ndarray]:
-    """Factors of a block's test, for either side: their product is squared distance less budget."""
-    part = turned[:, block[0] : block[1]].astype(np.float32)
+def _lead(turned: np.ndarray) -> np.ndarray:
+    """Leading axes of rotated vectors."""
+    return turned[:, : max(LEAD_LEAST, math.ceil(LEAD_SHARE * turned.shape[1]))].astype("<f4")
+
+
+def _filters(part: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of a test for either side: their product is squared distance less budget."""
     norm, one = (part * part).sum(axis=1, keepdims=True), np.ones((len(part), 1), dtype=np.float32)
     return np.hstack([-2 * part, norm - np.float32(budget + COARSE), one]), np.hstack([part, one, norm])
 
 
-def visit(ids_a, size_a, rows_a, ids_b, size_b, rows_b, blocks: int, threshold: float, same: bool):
+@dataclass
+class Chunk:
+    """Vectors of a chunk: ids, sizes of their classes, the vectors as given, and their leading rotated axes."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    rows: np.ndarray
+    lead: np.ndarray
+
+
+def _near(a: Chunk, b: Chunk, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs that the leading axes don't rule out, in slices."""
+    x, y = _filters(a.lead, 2 - 2 * threshold)[0], _filters(b.lead, 2 - 2 * threshold)[1].T
+    step = max(1, SLICE_PAIRS // max(1, len(b.rows)))
+    for start in range(0, len(a.rows), step):
+        first = start + 1 if same else 0  # a chunk meets itself above the diagonal
+        if first < len(b.rows):
+            i, j = np.divmod(np.flatnonzero(x[start : start + step] @ y[:, first:] <= 0), len(b.rows) - first)
+            i, j = i + start, j + first
+            if same:
+                i, j = i[j > i], j[j > i]
+            for cut in range(0, len(i), 1 << 16):
+                yield i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+
+
+def visit(a: Chunk, b: Chunk, blocks: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links between two chunks: ids, links of each, and the smallest linked id of its group here.
 
     blocks: bits of the blocks to test. same: both chunks are one.
     """
-    width = rows_a.shape[1]
-    turn = rotation(width)
-    turned_a, turned_b = _unit(rows_a.astype(np.float64)) @ turn, _unit(rows_b.astype(np.float64)) @ turn
-    tests = [
-        (_filters(turned_a, block, budget)[0], _filters(turned_b, block, budget)[1].T)
-        for k, (block, budget) in enumerate(zip(_blocks(width), _budgets(width, threshold), strict=True))
-        if blocks >> k & 1
-    ]
+    width = a.rows.shape[1]
+    turn, budgets = rotation(width), _budgets(width, threshold)
+    tests = [(x, y, budgets[k]) for k, (x, y) in enumerate(_blocks(width)) if blocks >> k & 1]
     found_a, found_b = [], []
-    step = max(1, SLICE_PAIRS // max(1, len(rows_b)))
-    for start in range(0, len(rows_a), step):
-        first = start + 1 if same else 0  # a chunk meets itself above the diagonal
-        near = np.zeros((min(step, len(rows_a) - start), len(rows_b) - first), dtype=bool)
-        for x, y in tests:
-            near |= x[start : start + step] @ y[:, first:] <= 0
-        i, j = np.nonzero(near)
-        i, j = i + start, j + first
-        if same:
-            i, j = i[j > i], j[j > i]
-        for cut in range(0, len(i), 1 << 16):
-            p, q = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-            linked = _cosine(rows_a[p], rows_b[q]) >= threshold
-            found_a.append(p[linked])
-            found_b.append(q[linked])
+    for p, q in _near(a, b, threshold, same):
+        apart = ((_unit(a.rows[p].astype(np.float64)) - _unit(b.rows[q].astype(np.float64))) @ turn) ** 2
+        within = np.zeros(len(p), dtype=bool)
+        for x, y, budget in tests:
+            within |= apart[:, x:y].sum(axis=1) <= budget + COARSE
+        p, q = p[within], q[within]
+        linked = _cosine(a.rows[p], b.rows[q]) >= threshold
+        found_a.append(p[linked])
+        found_b.append(q[linked])
     p = np.concatenate(found_a) if found_a else np.empty(0, dtype=np.int64)
     q = np.concatenate(found_b) if found_b else np.empty(0, dtype=np.int64)
     if not len(p):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    ids, sizes = (ids_a, size_a) if same else (np.concatenate([ids_a, ids_b]), np.concatenate([size_a, size_b]))
+    ids, sizes = (a.ids, a.sizes) if same else (np.concatenate([a.ids, b.ids]), np.concatenate([a.sizes, b.sizes]))
     if not same:
-        q = q + len(ids_a)
+        q = q + len(a.ids)
     links = np.bincount(p, weights=sizes[q], minlength=len(ids)) + np.bincount(q, weights=sizes[p], minlength=len(ids))
     order = np.argsort(ids, kind="stable")  # so that the smallest position is the smallest id
     rank = np.empty(len(ids), dtype=np.int64)
@@ -217,7 +243,7 @@ def layouts(classes: DataFrame) -> dict[int, Layout]:
 
 
 def chunks(classes: DataFrame) -> DataFrame:
-    """Chunks of classes (id, size, v): name, dim, packed ids, sizes and vectors, and the bounds of their box."""
+    """Chunks of classes (id, size, v): dim, packed ids, sizes, vectors and leading axes, and the bounds of their box."""
     by_dim = layouts(classes)
     kind = "<f4" if dict(classes.dtypes)["v"] == "array<float>" else "<f8"
 
@@ -232,66 +258,68 @@ def chunks(classes: DataFrame) -> DataFrame:
             yield batch.assign(dim=dims, leaf=leaf)
 
     placed = classes.select("id", "size", "v").mapInPandas(place, f"id long, size long, v {dict(classes.dtypes)['v']}, dim int, leaf long")
-    placed, _ = durable(placed, "neighbour-leaves")
+    placed, path = durable(placed, "neighbour-leaves")
     cut = placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("cuts"))
     members = placed.join(cut, ["dim", "leaf"]).withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        dim, leaf, cut = (int(group[c].iloc[0]) for c in ("dim", "leaf", "cut"))
+        dim = int(group["dim"].iloc[0])
         rows = np.array(group["v"].tolist(), dtype=kind)
         turned = _unit(rows.astype(np.float64)) @ by_dim[dim].turn
-        out = {"chunk": f"{dim} {leaf} {cut}", "dim": dim, "ids": group["id"].to_numpy("<i8").tobytes(), "sizes": group["size"].to_numpy("<i8").tobytes()}
-        out |= {"v": rows.tobytes(), "low": turned.min(axis=0).tolist(), "high": turned.max(axis=0).tolist()}
+        out = {"dim": dim, "ids": group["id"].to_numpy("<i8").tobytes(), "sizes": group["size"].to_numpy("<i8").tobytes()}
+        out |= {"v": rows.tobytes(), "lead": _lead(turned).tobytes(), "low": turned.min(axis=0).tolist(), "high": turned.max(axis=0).tolist()}
         return pd.DataFrame([out])
 
-    shape = "chunk string, dim int, ids binary, sizes binary, v binary, low array<double>, high array<double>"
-    return durable(members.groupBy("dim", "leaf", "cut").applyInPandas(gather, shape), "neighbour-chunks")[0]
+    shape = "dim int, ids binary, sizes binary, v binary, lead binary, low array<double>, high array<double>"
+    packed = members.groupBy("dim", "leaf", "cut").applyInPandas(gather, shape)
+    found, _ = durable(packed.withColumn("chunk", F.monotonically_increasing_id()), "neighbour-chunks")
+    discard(classes.sparkSession, path)
+    return found
 
 
-def visits(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs of chunks to visit: a, b (a <= b), and the blocks to test there.
+def _once(a: Column, b: Column) -> Column:
+    """Whether two chunks are visited in this order; each pair is in one, and either order has half of a chunk's pairs."""
+    return F.when(F.xxhash64(F.least(a, b), F.greatest(a, b)) % 2 == 0, a <= b).otherwise(a >= b)
 
-    The boxes are packed, and each pair of packs is compared in one task.
-    """
-    packs = max(1, math.ceil(found.count() / BOX_ROWS))
-    boxes = found.select("chunk", "dim", "low", "high", F.pmod(F.xxhash64("chunk"), F.lit(packs)).alias("pack"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("other")
-    paired = boxes.select("*", other).withColumn("p", F.least("pack", "other")).withColumn("q", F.greatest("pack", "other"))
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        p, q = group["p"].iloc[0], group["q"].iloc[0]
-        sides = [group[group["pack"] == x].sort_values("chunk") for x in (p, q)]
-        a, b = ((s["chunk"].to_numpy(), np.array(s["low"].tolist()), np.array(s["high"].tolist())) for s in sides)
-        near = np.zeros((len(a[0]), len(b[0])), dtype=np.int64)
-        if near.size:
-            near = near_boxes(a[1], a[2], b[1], b[2], threshold)
-        i, j = np.nonzero(np.triu(near) if p == q else near)
-        names = [sorted(x) for x in zip(a[0][i], b[0][j], strict=True)]
-        # plain objects: strings that Arrow holds in several pieces can't be packed into the rows that go back
-        low, high = (pd.Series([x[k] for x in names], dtype=object) for k in (0, 1))
-        return pd.DataFrame({"a": low, "b": high, "blocks": near[i, j]})
-
-    return durable(paired.groupBy("dim", "p", "q").applyInPandas(compare, "a string, b string, blocks long"), "neighbour-visits")[0]
+
+def visits(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs of chunks to visit: all columns of two chunks, a_ and b_, whose boxes are within the budget."""
+    count = found.count()
+    held = max(1, min(BOX_ROWS, max(LEAST_BOX_ROWS, math.ceil(count / math.isqrt(MOST_TASKS)))))
+    dealt = found.repartition(max(1, math.ceil(count / held)))
+    a, b = (dealt.select([F.col(c).alias(f"{side}_{c}") for c in found.columns]) for side in "ab")
+    gap = F.zip_with(
+        F.zip_with("a_low", "b_high", lambda x, y: x - y), F.zip_with("b_low", "a_high", lambda x, y: x - y),
+        lambda x, y: F.greatest(x, y, F.lit(0.0)),
+    )
+    apart = F.aggregate(gap, F.lit(0.0), lambda total, x: total + x * x)
+    # lengths are no key to join by: nearly all vectors have the same
+    alike = F.abs(F.col("a_dim") - F.col("b_dim")) < 1
+    near = alike & _once(F.col("a_chunk"), F.col("b_chunk")) & (apart <= 2 - 2 * threshold + COARSE)
+    return a.hint("shuffle_replicate_nl").join(b.hint("shuffle_replicate_nl"), near)
 
 
 def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Partial links of classes (id, size, v): (id, n, root), to be summed by id."""
-    found = chunks(classes)
-    pairs = visits(found, threshold)
-    sides = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk"), "a", "b", "blocks")
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        held = {r.chunk: r for r in group.itertuples()}
-        a, b = held[group["a"].iloc[0]], held[group["b"].iloc[0]]
-        of = lambda r: (vectors.ids(r.ids), vectors.ids(r.sizes), np.frombuffer(r.v, dtype=kind).reshape(-1, r.dim))
-        out = visit(*of(a), *of(b), int(a.blocks), threshold, a is b)
-        return pd.DataFrame(dict(zip(("id", "n", "root"), out, strict=True)))
-
     kind = "<f4" if dict(classes.dtypes)["v"] == "array<float>" else "<f8"
-    # a chunk's copies leave its row one by one; a task gets few pairs, and holds one at a time
-    copies = found.select("chunk", "dim", "ids", "sizes", "v").join(sides, "chunk")
-    tasks = min(MOST_TASKS, max(1, pairs.count()))
-    return copies.repartition(tasks, "a", "b").groupBy("a", "b").applyInPandas(joined, "id long, n long, root long")
+
+    def joined(batches):
+        for batch in batches:
+            for r in batch.itertuples():
+                packed = ((r.a_ids, r.a_sizes, r.a_v, r.a_lead), (r.b_ids, r.b_sizes, r.b_v, r.b_lead))
+                a, b = (
+                    Chunk(
+                        vectors.ids(ids), vectors.ids(sizes), np.frombuffer(v, dtype=kind).reshape(-1, r.a_dim),
+                        np.frombuffer(lead, dtype="<f4").reshape(len(vectors.ids(ids)), -1),
+                    )
+                    for ids, sizes, v, lead in packed
+                )
+                low_a, high_a, low_b, high_b = (np.array([x]) for x in (r.a_low, r.a_high, r.b_low, r.b_high))
+                blocks = int(near_boxes(low_a, high_a, low_b, high_b, threshold)[0, 0])
+                out = visit(a, b, blocks, threshold, r.a_chunk == r.b_chunk)
+                yield pd.DataFrame(dict(zip(("id", "n", "root"), out, strict=True)))
+
+    return visits(chunks(classes), threshold).mapInPandas(joined, "id long, n long, root long")
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -300,8 +328,11 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     doubles = F.col(vector) if same else F.transform(F.col(vector), lambda x: x.cast("double"))
     usable = F.col("vec_id").isNotNull() & vectors.finite(F.col("v")) & F.exists("v", lambda x: x != 0)
     rows = bounded_batches(rows).select(F.col(vec_id).cast("long").alias("vec_id"), doubles.alias("v"))
-    rows, _ = durable(rows.select("vec_id", F.when(usable, F.col("v")).alias("v")), "neighbour-rows")
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    # rows find their class by two hashes of 64 bits, so that vectors are shuffled once, for the classes
+    digests = [F.when(usable, F.xxhash64(F.lit(k), "v")).alias(f"digest_{k}") for k in (0, 1)]
+    rows, _ = durable(rows.select("vec_id", F.when(usable, F.col("v")).alias("v"), *digests), "neighbour-rows")
+    key = ["digest_0", "digest_1"]
+    classes = rows.where("v is not null").groupBy(*key).agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("v").alias("v"))
     # numbered as they are written: different vectors may share an id
     classes, _ = durable(classes.withColumn("id", F.monotonically_increasing_id()), "neighbour-classes")
     partial, _ = durable(links(classes, threshold), "neighbour-links")
@@ -309,9 +340,9 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     roots = components(partial.where("id <> root").select("id", "root"), "id", "root")
     grouped = classes.join(sums, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = grouped.join(smallest, "root").select("v", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    alone = F.when(F.col("v").isNull(), F.col("vec_id"))
-    found = rows.join(labelled, "v", "left").select(
+    labelled = grouped.join(smallest, "root").select(*key, (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
+    alone = F.when(F.col("digest_0").isNull(), F.col("vec_id"))
+    found = rows.drop("v").join(labelled, key, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", alone).alias("component_id")
     )
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -130,3 +130,25 @@ def test_boxes_lose_no_pair():
 
 def test_links_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def records_shuffled(plan):
+    """Records that each exchange of a plan has written, once it has run."""
+    name = plan.getClass().getSimpleName()
+    if name == "ReusedExchangeExec":
+        return []
+    if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+        return records_shuffled(plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+    return own + [n for i in range(plan.children().size()) for n in records_shuffled(plan.children().apply(i))]
+
+
+def test_chunks_are_shuffled_once_however_many_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 30)
+    rng = np.random.default_rng(4)
+    rows = [(i, 1, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((400, 16)))]
+    classes = spark.createDataFrame(rows, "id long, size long, v array<double>")
+    count = neighbours.chunks(classes).count()
+    found = neighbours.links(classes)
+    found.collect()
+    assert count > 12 and 0 < sum(records_shuffled(found._jdf.queryExecution().executedPlan())) <= 2 * count
