@@ -26,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -188,30 +189,32 @@ def _smoothed(seen: str, parent: Column, beta: float) -> Column:
 
 
 def identify(
-    df: DataFrame, text: Column, declared: Column, host: Column, domain: Column, suffix: Column, keep: list[str] | None = None
+    df: DataFrame, text: Column, declared: Column, host: Column, domain: Column | None, suffix: Column | None, keep: list[str] | None = None
 ) -> DataFrame:
     """Rows as (row, lang, confidence, rejected); row is a struct of df's columns, or of those in keep.
 
     The rows are written once with their likelihoods, which both the counts and
-    the decision read.
+    the decision read. Rows that have no address at all name no domain or suffix
+    (None): these are neither counted nor joined then.
     """
+    address = {name: c.cast("string") for name, c in (("domain", domain), ("suffix", suffix)) if c is not None}
     clean = F.lower(F.substring_index(F.trim(declared), "-", 1))
     rows = bounded_batches(df).select(
         F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"),
         F.coalesce(text.cast("string"), F.lit("")).alias("text"),
         F.when((clean != "") & ~clean.isin(*SPECIAL), clean).alias("declared"),
-        host.cast("string").alias("host"), domain.cast("string").alias("domain"), suffix.cast("string").alias("suffix"),
+        host.cast("string").alias("host"), *[c.alias(name) for name, c in address.items()],
     )
     model = _train(rows)
     languages = model.languages
     classes = len(languages) + 1
     likelihoods = _likelihoods(model)
 
-    scored, _ = durable(rows.select("row", "declared", "host", "domain", "suffix", likelihoods("text").alias("ll")), "langid-scored", "zstd")
+    scored, _ = durable(rows.select("row", "declared", "host", *address, likelihoods("text").alias("ll")), "langid-scored", "zstd")
     texts = F.slice("ll", 1, classes)
     best = F.array_position(texts, F.array_max(texts)) - 1
     counts, _ = durable(
-        scored.where(F.element_at("ll", -1) > 0).groupBy("host", "domain", "suffix", "declared", best.alias("best")).agg(F.count("*").alias("n")),
+        scored.where(F.element_at("ll", -1) > 0).groupBy("host", *address, "declared", best.alias("best")).agg(F.count("*").alias("n")),
         "langid-counts",
     )
     all_classes = {r["best"]: r["n"] for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}
@@ -219,12 +222,13 @@ def identify(
     overall = (seen / seen.sum()).tolist()
     everywhere = F.array(*map(F.lit, overall))
 
-    domains = _seen(counts, "domain", classes).select("domain", _smoothed("seen", everywhere, DOMAIN_BETA).alias("domain_prior"))
-    of_host = counts.where("host is not null").groupBy("host").agg(F.max("domain").alias("domain"))
-    hosts = (
-        _seen(counts, "host", classes).join(of_host, "host").join(domains, "domain", "left")
-        .select("host", _smoothed("seen", F.coalesce("domain_prior", everywhere), HOST_BETA).alias("prior"))
-    )
+    hosts, parent = _seen(counts, "host", classes), everywhere
+    if "domain" in address:
+        domains = _seen(counts, "domain", classes).select("domain", _smoothed("seen", everywhere, DOMAIN_BETA).alias("domain_prior"))
+        of_host = counts.where("host is not null").groupBy("host").agg(F.max("domain").alias("domain"))
+        hosts = hosts.join(of_host, "host").join(domains, "domain", "left")
+        parent = F.coalesce("domain_prior", everywhere)
+    hosts = hosts.select("host", _smoothed("seen", parent, HOST_BETA).alias("prior"))
     hosts, _ = durable(hosts, "langid-hosts")
 
     def evidence(key: str) -> DataFrame:
@@ -234,13 +238,15 @@ def identify(
 
     # a declaration that is no language of the model says nothing
     known = F.array_contains(F.split(F.lit("-".join(languages)), "-"), F.col("declared"))
-    final = scored.select("row", F.when(known, F.col("declared")).alias("declared"), "host", "suffix", "ll")
+    final = scored.drop("domain").withColumn("declared", F.when(known, F.col("declared")))
     final = spread_join(final, hosts, "host", 64 + 8 * classes)
-    final = spread_join(spread_join(final, evidence("declared"), "declared", 64 + 8 * classes), evidence("suffix"), "suffix", 64 + 8 * classes)
+    keys = ["declared", "suffix"] if "suffix" in address else ["declared"]
+    for key in keys:
+        final = spread_join(final, evidence(key), key, 64 + 8 * classes)
     prior = F.transform(F.coalesce("prior", everywhere), lambda p: F.log(p))
     silent = F.array_repeat(F.lit(0.0), classes)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    said = add(F.coalesce("by_declared", silent), F.coalesce("by_suffix", silent))
+    said = functools.reduce(add, [F.coalesce(f"by_{key}", silent) for key in keys])
     final = final.select("row", "ll", add(add(F.slice("ll", 1, classes), prior), said).alias("post"))
     final = final.select("row", "ll", "post", F.array_max("post").alias("top"))
     names = F.split(F.lit("-".join([*languages, NO_LANGUAGE])), "-")
@@ -255,8 +261,7 @@ def identify(
 
 def identify_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Documents declare a language and come from a source; they have no address."""
-    none = F.lit(None).cast("string")
-    return identify(docs, F.col("text"), F.col("lang"), F.col("source"), none, none, keep)
+    return identify(docs, F.col("text"), F.col("lang"), F.col("source"), None, None, keep)
 
 
 def identify_pages(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import languages
-from strandloom.llm import common
+from strandloom.llm import common, langid
 from strandloom.llm.langid import identify, identify_documents, identify_pages, trigrams
 from strandloom.llm.queries.op10 import op10_language_id
 
@@ -67,6 +67,18 @@ def test_shuffled_hosts_decide_alike(spark, monkeypatch):
     assert got == want and len(got) == 400
 
 
+def test_documents_have_no_stage_for_addresses(spark, monkeypatch):
+    """Nothing is counted by domain or suffix where no row has any, and the results are those of silent evidence."""
+    rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de", f"h{i % 3}") for i in range(60)] + [(60, "to zzyzx", None, "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    none = F.lit(None).cast("string")
+    want = identify(df, F.col("text"), F.col("lang"), F.col("source"), none, none).collect()
+    made = []
+    monkeypatch.setattr(langid, "durable", lambda df, label, *rest: made.append((label, df.columns)) or common.durable(df, label, *rest))
+    assert sorted(identify_documents(df).collect()) == sorted(want)
+    assert made and not any("suffix" in x or "domain" in columns for x, columns in made)
+
+
 def test_rare_languages_are_identified(spark):
     made = lambda lang, i: " ".join(f"{'aeiou'[(i + k) % 5]}{lang}{'mnrst'[(i * k) % 5]}{lang[::-1]}" for k in range(60))
     tails = ["qv", "zx", "kj", "wq"]
