@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bounded_batches, durable
+from strandloom.llm.common import bounded_batches, durable, spread_join
 from strandloom.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -43,6 +43,8 @@ SEGMENTS = 16
 SEGMENT_BITS = 4
 #: Above this many fingerprints at one grid point, the finest grid replaces pairs there.
 PAIR_LIMIT = 32
+#: Bytes of a row of a few longs in a broadcast table, with its share of the hash table.
+ROW_BYTES = 100
 #: Fingerprints that one task maps to grid points, 33 each.
 GRID_ROWS, MOST_TASKS = 50_000, 20_000
 
@@ -110,24 +112,26 @@ def _flips(fp: Column) -> Column:
 def near_links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a < b, that join the same groups as all pairs within two bits.
 
-    fps: distinct fingerprints in a column fp.
+    fps: distinct fingerprints in a column fp. Spark sizes the exploded points as if
+    they were no more than the fingerprints, so no join with them is left to its
+    size check: sizes are broadcast by their measured number, the rest is merged.
     """
     tasks = min(MOST_TASKS, 1 + fps.count() // GRID_ROWS)
     met = fps.repartition(tasks, "fp").select("fp", F.explode(_grid_points(F.col("fp"))).alias("point"))
-    sizes = met.groupBy("point").agg(F.count("*").alias("n")).where("n > 1")
-    placed, _ = durable(met.join(sizes, "point"), "simhash-grid")
+    sizes, _ = durable(met.groupBy("point").agg(F.count("*").alias("n")).where("n > 1"), "simhash-points")
+    placed, _ = durable(spread_join(met, sizes, "point", ROW_BYTES, "inner", sizes), "simhash-grid")
     small = placed.where(F.col("n") <= PAIR_LIMIT)
     left = small.select("point", F.col("fp").alias("a"))
     right = small.select("point", F.col("fp").alias("b"))
     pairs = (
-        left.join(right, "point")
+        left.join(right.hint("merge"), "point")
         .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2))
         .select("a", "b")
     )
     crowded = placed.where(F.col("n") > PAIR_LIMIT).select("fp").distinct()
     words = crowded.select("fp", F.explode(_flips(F.col("fp"))).alias("word"))
     hubs = words.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("k")).where("k > 1").select("word", "a")
-    stars = words.join(hubs, "word").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
+    stars = words.join(hubs.hint("merge"), "word").where(F.col("a") < F.col("fp")).select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -138,7 +142,7 @@ def groups(prints: DataFrame) -> DataFrame:
     """
     classes, _ = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     linked = components(near_links(classes.select("fp")), "a", "b")
-    labelled = classes.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+    labelled = classes.join(linked.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -150,7 +154,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prints, _ = durable(
         bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text)).alias("fp")), "simhash-prints"
     )
-    return prints.join(groups(prints), "fp").select("doc_id", "fp", "root", "component_id")
+    found, _ = durable(groups(prints), "simhash-groups")
+    return spread_join(prints, found, "fp", ROW_BYTES, "inner").select("doc_id", "fp", "root", "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import simhash
+from strandloom.llm import common, simhash
+from strandloom.llm.common import durable
 from strandloom.llm.simhash import fingerprint, near_duplicates, near_links
 
 
@@ -87,3 +88,24 @@ def test_links_join_the_same_groups_at_any_crowd(spark, monkeypatch, limit):
 def test_clashing_columns(sample):
     docs = sample.limit(5).withColumn("fp", F.lit("x")).withColumn("root", F.lit("y"))
     assert near_duplicates(docs).count() == 5
+
+
+def test_grid_is_never_broadcast_unmeasured(spark, monkeypatch):
+    """The points exploded from a small file of fingerprints are many more than Spark takes them for."""
+    plans = []
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df, *rest)
+
+    fps, _ = durable(spark.range(300).select((F.col("id") * 8191).bitwiseXOR(F.col("id") % 3).alias("fp")).distinct())
+    want = grouped(keys := [r["fp"] for r in fps.collect()], lambda a, b: (a ^ b).bit_count() <= 2)
+    monkeypatch.setattr(simhash, "durable", noted)
+    for most in (32 << 20, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        found = near_links(fps)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        edges = {(r["a"], r["b"]) for r in found.collect()}
+        assert grouped(keys, lambda a, b: (a, b) in edges) == want
+        assert any("BroadcastHashJoin" in p for p in plans) == (most > 0) and "Join" in plans[-1]
+        plans.clear()
