@@ -168,9 +168,10 @@ def modal_positions(coordinates: DataFrame) -> DataFrame:
     """Most common (outer, run) coordinates of each group; ties go to those nearest the G run.
 
     coordinates: locus_id, side, outer, run, toward_run (1 where the run lies at
-    larger coordinates, else -1).
+    larger coordinates, else -1), and weight where a row stands for several.
     """
-    counts = coordinates.where("outer_pos is not null and run_pos is not null").groupBy("locus_id", "side", "outer_pos", "run_pos", "toward_run").agg(F.count("*").alias("n"))
+    n = F.sum("weight") if "weight" in coordinates.columns else F.count("*")
+    counts = coordinates.where("outer_pos is not null and run_pos is not null").groupBy("locus_id", "side", "outer_pos", "run_pos", "toward_run").agg(n.alias("n"))
     near = lambda c: F.desc(F.col("toward_run") * F.col(c))
     rank = F.row_number().over(W.partitionBy("locus_id", "side").orderBy(F.desc("n"), near("run_pos"), near("outer_pos")))
     total = F.sum("n").over(W.partitionBy("locus_id", "side"))

@@ -40,24 +40,26 @@ def build_flanks(alignments: DataFrame, loci: DataFrame, sample: str) -> DataFra
     windows = geometry.reference_windows(near)
     walks = kept_once(geometry.reference_walks(windows, loci).select("locus_id", "ref_orientation", "window", "window_start"))
     turned = loci.join(walks.select("locus_id", "ref_orientation"), "locus_id")
-    reads = kept_once(tested_reads(alignments, turned).where("overlaps AND drop_reason IS NULL"))
-    counted = reads.groupBy("locus_id", "seq", "marks").agg(F.count("*").alias("weight"))
+    # reads alike in all that is asked for are one row with a weight
+    reads = tested_reads(alignments, turned).where("overlaps AND drop_reason IS NULL")
+    reads = kept_once(reads.groupBy("locus_id", "ref_orientation", "seq", "marks", "blocks").agg(F.count("*").alias("weight")))
+    counted = reads.groupBy("locus_id", "seq", "marks").agg(F.sum("weight").alias("weight"))
     pairs = kept_once(flank_search.best_pairs(counted))
     placed = kept_once(placement.place(reads.join(pairs.select("locus_id", "up_flank", "dn_flank"), "locus_id")).where("kept"))
-    wrong = flank_search.mismatches(placed, pairs).limit(10).collect()
+    wrong = flank_search.mismatches(placed.withColumn("value", F.col("value") * F.col("weight")), pairs).limit(10).collect()
     if wrong:
         raise AssertionError(f"placement and search disagree: {[r.asDict() for r in wrong]}")
-    at = lambda i: al.reference_coordinate(F.col("blocks"), F.col(i), F.col("ref_orientation"), F.length("raw"))
+    at = lambda i: al.reference_coordinate(F.col("blocks"), F.col(i), F.col("ref_orientation"), F.length("seq"))
     plus = F.when(F.col("ref_orientation") == "-", -1).otherwise(1)
     sides = [
-        placed.select("locus_id", F.lit(s).alias("side"), at(outer).alias("outer_pos"), at(run).alias("run_pos"), (plus * sign).alias("toward_run"))
+        placed.select("locus_id", "weight", F.lit(s).alias("side"), at(outer).alias("outer_pos"), at(run).alias("run_pos"), (plus * sign).alias("toward_run"))
         for s, outer, run, sign in (("up", "up_outer", "a", 1), ("dn", "dn_outer", "b", -1))
     ]
     both = sides[0].unionByName(sides[1]).where("outer_pos >= 0 AND run_pos >= 0")
     modal = flank_search.modal_positions(both)
     positions = geometry.voted_positions(placed, turned, modal)
-    n_placed = placed.groupBy("locus_id").agg(F.count("*").alias("n_reads_placed"))
-    n_reads = reads.groupBy("locus_id").agg(F.count("*").alias("n_reads"))
+    n_placed = placed.groupBy("locus_id").agg(F.sum("weight").alias("n_reads_placed"))
+    n_reads = reads.groupBy("locus_id").agg(F.sum("weight").alias("n_reads"))
     found = pairs.join(n_placed, "locus_id", "left").join(positions.drop("chrom", "bed_start", "bed_end", "ref_orientation"), "locus_id", "left")
     known = loci.select("locus_id").join(walks, "locus_id", "left").join(n_reads, "locus_id", "left")
     known = known.select("locus_id", F.col("window").isNotNull().alias("has_window"), "ref_orientation", F.coalesce("n_reads", F.lit(0)).cast("long").alias("n_reads"))

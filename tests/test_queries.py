@@ -4,9 +4,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strandloom.operators import pipeline
 from strandloom.plans import catalog
+from strandloom.sources.shared import settled
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -42,3 +45,18 @@ def test_plans_stay_in_the_jvm(spark):
     for name in ("locus_summary", "best_placement", "flank_pair_search", "read_filter_counters", "ref_phasing_summary", "pileup_rows"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan.replace("BroadcastNestedLoopJoin BuildRight, Cross", "")
+
+
+def test_flanks_settle_equal_reads_once(spark, monkeypatch):
+    """What is settled of the reads grows with different reads, not with all of them."""
+    kept = []
+
+    def noted(df):
+        kept.append(settled(df))
+        return kept[-1]
+
+    monkeypatch.setattr(pipeline, "kept_once", noted)
+    sides = catalog.QUERIES["flank_side_table"](spark, SF)
+    reads = next(df for df in kept if "marks" in df.columns)
+    total = sides.where("side = 'upstream'").agg(F.sum("n_reads")).first()[0]
+    assert reads.count() * 10 < total == reads.agg(F.sum("weight")).first()[0]
